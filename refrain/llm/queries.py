@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import language
+from refrain.llm import language, quality, toxicity
 from refrain.llm.sampling import held_out
 
 
@@ -20,5 +20,26 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {"op1_language": op1_language}
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the rows that may be learned from."""
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = quality.score(docs, quality.train(docs, _labels(spark, sf_dir)))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = toxicity.score(docs, toxicity.train(docs, _labels(spark, sf_dir)))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
+}
 ORACLES: dict[str, str] = {}
