@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import language, quality, toxicity
+from refrain.llm import language, mixing, quality, relative, toxicity
 from refrain.llm.sampling import held_out
 
 
@@ -37,9 +37,48 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source an equal share of as many rows as there are; a row for each copy, in shuffled order."""
+    docs = _documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", F.col("_copy").cast("long").alias("copy"))
+
+
+OP4_SQL = f"""
+WITH RECURSIVE n AS (SELECT source, count(*) AS rows FROM documents WHERE source IS NOT NULL GROUP BY source),
+r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n)::DOUBLE * (SELECT sum(rows) FROM n)::DOUBLE / rows AS rate FROM n),
+q AS (SELECT source, greatest(1, ceil(rate / {mixing.PART}))::INT AS parts, rate / greatest(1, ceil(rate / {mixing.PART})) AS mean FROM r),
+terms AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM q
+  UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM terms WHERE k + 1 < {mixing.TERMS}),
+cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM terms GROUP BY source),
+u AS (SELECT doc_id, documents.source, unnest(range(1, parts + 1)) AS part FROM documents JOIN q ON documents.source = q.source),
+drawn AS (SELECT doc_id, u.source, sum(len(list_filter(cs, lambda c: c < (('0x' || substr(md5('mix:' || doc_id || ':' || part), 1, 13))::BIGINT::DOUBLE + 0.5) / {mixing.DRAWS}))) AS n
+  FROM u JOIN cdf ON u.source = cdf.source GROUP BY doc_id, u.source)
+SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0
+"""
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = relative.deduplicate(_documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+m AS MATERIALIZED (SELECT h, min(doc_id) AS lo FROM p GROUP BY h),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT p.doc_id, p.i FROM p JOIN m ON p.h = m.h WHERE lo < p.doc_id), (SELECT unnest(range(50)) AS j)),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.i) AS t, count(*) AS n FROM each ANTI JOIN gone ON each.doc_id = gone.doc_id AND each.i = gone.i GROUP BY each.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
+    "op8_substrings": op8_substrings,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_substrings": OP8_SQL}
