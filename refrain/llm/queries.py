@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import language, mixing, quality, relative, toxicity
+from refrain.llm import jaccard, language, mixing, quality, relative, toxicity, vectors
 from refrain.llm.sampling import held_out
 
 
@@ -57,6 +57,19 @@ SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE
 """
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[64] AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND array_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id)::BIGINT AS n_links, min(reach.b) AS component_id, v.vec_id = min(reach.b) AS kept
+FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
+"""
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = relative.deduplicate(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -74,11 +87,17 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_vectors": op5_vectors,
     "op8_substrings": op8_substrings,
+    "op10_jaccard": op10_jaccard,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_substrings": OP8_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_vectors": OP5_SQL, "op8_substrings": OP8_SQL}
