@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.llm import jaccard, language, mixing, quality, relative, toxicity, vectors
+from refrain.llm import editprint, jaccard, language, mixing, personal, pieces, quality, relative, toxicity, vectors
 from refrain.llm.sampling import held_out
 
 
@@ -70,6 +70,14 @@ FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id
 """
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_documents(spark, sf_dir), pieces.load())
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.with_edited(_documents(spark, sf_dir))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = relative.deduplicate(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -87,6 +95,12 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
 
+def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in personal.BASE), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_documents(spark, sf_dir))
 
@@ -97,7 +111,10 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_vectors": op5_vectors,
+    "op6_pieces": op6_pieces,
+    "op7_fingerprints": op7_fingerprints,
     "op8_substrings": op8_substrings,
+    "op9_personal": op9_personal,
     "op10_jaccard": op10_jaccard,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op5_vectors": OP5_SQL, "op8_substrings": OP8_SQL}

@@ -256,3 +256,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("_text"))
     schema = "".join(f"_{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(keep)) + "score double"
     return map_texts(rows, "_text", work, schema).toDF(*keep, "score")
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores under ``threshold``; null texts score as empty ones."""
+    return map_texts(docs, text, lambda batch, texts: batch.filter(pa.array(model.score(texts) < threshold)), docs.schema)
