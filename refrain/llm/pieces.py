@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from refrain.llm.arrowtext import map_texts
 
@@ -199,7 +200,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", to: str = "ids") -
         column = pa.array([np.frombuffer(x, np.int32) if v else None for x, v in zip(ids, valid, strict=True)], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, column], [*names, to])
 
-    schema = rows.schema.add(to, "array<int>")
+    schema = T.StructType([*rows.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))])
     return map_texts(rows, text, work, schema)
 
 
@@ -214,7 +215,7 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "text") ->
             texts = [None if x is None else _parsed(model).decode(np.asarray(x, np.int32).tobytes()) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, to])
 
-    return kept.mapInArrow(run, kept.schema.add(to, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(to, T.StringType())]))
 
 
 @lru_cache(maxsize=2)
