@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
     sample = by_class(marked, "y", "k", settings.sample, settings.seed)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(sample, "k")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")  # the sample is bounded by its parameter
 
     def work(batch, texts):
         r, slots, values = encode(texts, settings)
