@@ -41,9 +41,9 @@ def plan(inputs: DataFrame, n: str = "n", memory: str = "memory", ratios: Ratios
     index = F.when(size >= (1 << 32), 8).otherwise(4)
     out = out.withColumn("prepass_block", block).withColumn("metachar", F.lit(META_BYTES) + index)
     free = m - F.col("prepass_block")
-    exponent = F.ceil(F.lit(2) + F.log2(size * F.col("metachar") / free)).cast("int")
+    exponent = F.ceil(F.lit(2) + F.log2(F.nullif(size, F.lit(0)) * F.col("metachar") / F.nullif(free, F.lit(0)))).cast("int")
     out = out.withColumn("sampling", F.greatest(F.lit(MIN_SAMPLING), exponent))
-    out = out.withColumn("prepass", F.coalesce(F.col("sampling") <= MAX_SAMPLING, F.lit(False)))
+    out = out.withColumn("prepass", F.coalesce(F.col("sampling") <= MAX_SAMPLING, F.lit(False)) & (size > 0))
     k = F.least(F.lit(MAX_NODES), F.floor((1 - F.lit(ratios.window)) * m / NODE_BYTES)).cast("long")
     rest = m - F.col("k") * NODE_BYTES
     narrow = F.least(F.floor(rest / WINDOW_BYTES_32).cast("long"), F.lit((1 << 31) - 1).cast("long"))
