@@ -192,7 +192,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = units.groupBy(F.col("item").alias("c")).agg(F.sum("links").alias("others"))
     result = cut(classes.select("a", "b", "n", "c", "weight").join(links, "c", "left").join(linked, "c", "left"))
     discard(pairs, chosen, sizes, units)
-    out = members.select("k", "a", "b", "n").join(result, ["a", "b", "n"], "left")
+    out = members.select("k", "a", "b", F.when(F.col("k").isNotNull(), F.col("n")).alias("n")).join(result, ["a", "b", "n"], "left")
     out = out.select(
         F.col("k").alias(key),
         F.coalesce("c", F.col("k").cast("long")).alias("class_id"),

@@ -1,0 +1,247 @@
+"""Mixing, pieces, personal data, the pipeline, and the text primitives."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+import struct
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from refrain.llm import arrowtext, mixing, personal, pieces
+from tests.llm.conftest import documents, prose
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \t\né", max_size=30)), max_size=6))
+def test_words(values):
+    batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["t"])
+    seen = []
+    for _, texts in arrowtext.slices(batch, "t", 16):
+        starts, ends, first = texts.words()
+        hashes, data = texts.word_hashes(), texts.data.tobytes()
+        for i in range(len(texts)):
+            seen.append([(data[starts[w] : ends[w]].decode(), int(hashes[w])) for w in range(first[i], first[i + 1])])
+    assert [[w for w, _ in row] for row in seen] == [(v or "").split() for v in values]
+    flat = [p for row in seen for p in row]
+    assert len({w for w, _ in flat}) == len(set(flat)) == len({h for _, h in flat})
+
+
+def test_counts_are_poisson(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("source"))
+    rows = mixing.counted(docs, weights={"small": 3.0, "large": 1.0, "absent": 2.0}).groupBy("source").agg(F.avg("_count").alias("m"), F.variance("_count").alias("v"), F.first("_rate").alias("r"), F.count("*").alias("n"))
+    got = {r["source"]: r for r in rows.collect()}
+    assert math.isclose(got["small"]["r"], 0.75 * 20_000 / 4000) and math.isclose(got["large"]["r"], 0.25 * 20_000 / 16_000)
+    for r in got.values():
+        error = 4 * math.sqrt(r["r"] / r["n"])
+        assert abs(r["m"] - r["r"]) < error and abs(r["v"] / r["r"] - 1) < 0.15
+
+
+def test_large_rates(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    m = mixing.counted(docs, total=400 * 1000.0).agg(F.avg("_count"), F.variance("_count")).first()
+    assert abs(m[0] - 1000) < 8 and 700 < m[1] < 1350
+
+
+def test_mix(odd, none):
+    out = mixing.mix(odd)
+    assert set(odd.columns) | {"_copy"} == set(out.columns)
+    got = out.collect()
+    assert got == mixing.mix(odd.repartition(2)).collect() or sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.repartition(2)).collect()))
+    assert all(r["source"] is not None for r in got)
+    assert mixing.mix(none).count() == 0
+    assert mixing.mix(odd, weights={"src0": 1.0, "src1": 0.0}).where("source <> 'src0'").count() == 0
+
+
+@pytest.fixture(scope="module")
+def model():
+    try:
+        return pieces.load()
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file")
+
+
+def raw_fields(data: bytes):
+    """(number, value bytes with their tag) of each field of a message."""
+    at = 0
+    while at < len(data):
+        begin = at
+        tag, at = varint_at(data, at)
+        if tag & 7 == 0:
+            _, at = varint_at(data, at)
+        elif tag & 7 == 2:
+            n, at = varint_at(data, at)
+            at += n
+        else:
+            at += 4 if tag & 7 == 5 else 8
+        yield tag >> 3, data[begin:at]
+
+
+def varint_at(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        b = data[at]
+        at += 1
+        value |= (b & 127) << shift
+        shift += 7
+        if b < 128:
+            return value, at
+
+
+def as_unigram(data: bytes) -> bytes:
+    """The same vocabulary, marked as one to be searched by Viterbi (model_type 1 in its trainer's settings)."""
+    out = b""
+    for number, raw in raw_fields(data):
+        if number == 2:
+            body = raw[varint_at(raw, 1)[1] :]
+            body = b"".join(r for n, r in raw_fields(body) if n != 3) + bytes([3 << 3, 1])
+            size = len(body)
+            raw = bytes([2 << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + body
+        out += raw
+    return out
+
+
+def test_pieces_equal_the_library(model):
+    # The runs of spaces have a score of -1e9, next to which the library's 32-bit sums lose the other scores: made -40000 for both.
+    model = as_unigram(model).replace(struct.pack("<f", -1e9), struct.pack("<f", -4e4))
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=model)
+    vocabulary, rng = pieces.read_model(model), random.Random(4)
+    samples = [prose(rng, rng.randint(1, 6)) for _ in range(400)] + ["Hello world", "naïve café", "ciónmente ß", "a\nb", "x🙂y", "The quick  brown"]
+    for text, ids in zip(samples, vocabulary.encode(samples), strict=True):
+        assert np.frombuffer(ids, np.int32).tolist() == library.encode(text), text
+
+
+def best_score(vocabulary, word):
+    known = {p.replace(pieces.MARK, " "): s for p, s, t in zip(vocabulary.pieces, vocabulary.scores, vocabulary.types, strict=True) if t == pieces.NORMAL}
+    best = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - 20), j):
+            if word[i:j] in known:
+                best[j] = max(best[j], best[i] + known[word[i:j]])
+        if word[j - 1] not in known:
+            best[j] = max(best[j], best[j - 1] + vocabulary.unknown_score)
+    return best[-1]
+
+
+def test_shared_search_is_optimal(model):
+    vocabulary, rng = pieces.read_model(model), random.Random(5)
+    words = list({" " + prose(rng, 1) for _ in range(300)} | {"", " ", "  a", "ж🙂", " the", " then", " thence"})
+    for word, ids in vocabulary.segment(words).items():
+        ids = np.frombuffer(ids, np.int32).tolist()
+        spelled = b"".join(vocabulary.spelled[i] for i in ids).decode()
+        assert spelled == word
+        score, raw = 0.0, 0
+        for i in ids:
+            if vocabulary.types[i] == pieces.BYTE:
+                raw += vocabulary.spelled[i][0] & 0xC0 != 0x80
+            else:
+                score += vocabulary.scores[i]
+        assert score + raw * vocabulary.unknown_score == best_score(vocabulary, word)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60))
+def test_pieces_round_trip(text):
+    try:
+        vocabulary = pieces._parsed(pieces.load())
+    except FileNotFoundError:
+        pytest.skip("no vocabulary file")
+    assert vocabulary.decode(vocabulary.encode([text])[0]) == text
+
+
+def test_pieces_of_odd_rows(odd, none, model):
+    out = pieces.encode(odd, model)
+    back = pieces.decode(out.drop("text"), model).select("doc_id", "text")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, odd.select("doc_id", "text").collect()))
+    assert [c for c in out.columns if c != "ids"] == [c for c in odd.columns if c != "ids"]
+    got = pieces.digests(odd, model).collect()
+    assert all(r["round_trip"] for r in got) and len(got) == odd.count()
+    assert pieces.encode(none, model).count() == 0
+
+
+def naive_base(text):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(digits) <= 19 and personal.luhn(digits):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="ab.@-+1 2()0_%é", max_size=60))
+def test_base_patterns(text):
+    assert personal.base_spans(text) == naive_base(text)
+
+
+def test_base_patterns_stay_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+1" * 100_000, "a@" * 100_000, "1 " * 100_000):
+        personal.base_spans(text)
+
+
+def test_field_adds_what_patterns_miss():
+    weights = personal.train()
+    cases = {
+        "call (389) 555-5010 now": [("phone", "(389) 555-5010")],
+        "write joe.doe (at) example (dot) com please": [("email", "joe.doe (at) example (dot) com")],
+        "iban DE89 3704 0044 0532 0130 00 ok": [("iban", "DE89 3704 0044 0532 0130 00")],
+        "ssn 123-45-6789.": [("ssn", "123-45-6789")],
+        "+1 (826) 555-4081 190.137.2.25 x": [("phone", "+1 (826) 555-4081")],
+        "4111 1111 1111 1112 no": [],
+        "on 2024-01-02 10:11:12 at 5.": [],
+        "9e107d9d372bb6826bd81d3542a419d6 hash": [],
+        "The words of a plain sentence, (with brackets).": [],
+    }
+    for text, want in cases.items():
+        base, every = personal.all_spans(text, weights)
+        assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == want, text
+        assert set(base) <= set(every)
+
+
+def test_personal_rows(spark, odd, none):
+    rows = [(1, "é a.b@c.org, +1 (389) 555-5010; 10.1.2.3 é", "en", "s"), (2, "4111111111111111", "en", "s")]
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in personal.find(documents(spark, rows)).collect()}
+    assert got == {1: ("email:2:9,ip:30:38,phone:11:28",) * 2, 2: ("card:0:16",) * 2} or got[1][0] == personal.written(naive_base(rows[0][1]))
+    assert got[1][0] == personal.written(naive_base(rows[0][1])) and got[2] == ("card:0:16", "card:0:16")
+    hidden = {r["doc_id"]: r["text"] for r in personal.redact(documents(spark, rows)).collect()}
+    assert hidden == {1: "é [EMAIL], [PHONE]; [IP] é", 2: "[CARD]"}
+    assert personal.find(odd).count() == odd.count()
+    assert {r["text"] for r in personal.redact(odd).where("doc_id = 30").collect()} == {None}
+    assert personal.find(none).count() == 0
+
+
+def test_pipeline_stages(spark, odd, odd_rows, none, tmp_path, model):
+    import corpus_pipeline as p
+    from tests.llm.test_pairs import brute_jaccard
+
+    spark.createDataFrame([(0, 0), (1, 0), (2, 1), (3, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns = list(p.COLUMNS)
+    docs = odd.select(*columns)
+    clean = p.drop_toxic(spark, docs, str(tmp_path))
+    assert clean.columns == columns and clean.count() <= docs.count()
+    kept = p.drop_near_copies(spark, docs, "")
+    want = {i for i, r in brute_jaccard(odd_rows).items() if r[3]}
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert kept.columns == columns and sorted(i for i in ids if i is not None) == sorted(want) and sum(i is None for i in ids) == 2
+    hidden = p.hide_personal(spark, docs, "")
+    assert hidden.columns == columns and hidden.where("n_chars <> length(text)").count() == 0
+    mixed = p.mix_sources(spark, docs, "")
+    assert mixed.columns == columns
+    out = p.to_pieces(spark, docs, "").collect()
+    assert len(out) == docs.count() and all(r["ids"] is None or len(r["ids"]) == r["n_tokens"] for r in out)
+    for _, stage in p.STAGES:
+        assert stage(spark, none.select(*columns), str(tmp_path)).count() == 0
