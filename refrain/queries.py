@@ -24,8 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """More partitions for Python operators where a file is one split."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    """More partitions for Python operators where the files give fewer splits than there are cores; else no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
