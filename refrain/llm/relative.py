@@ -81,9 +81,10 @@ def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text
 
     found = join_small(map_texts(docs, "t", anchors, f"k {kind}, at int, h long"), copies, "k", "left_anti")
     found = cut(found)
-    shared = found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h")
+    # Written tables have both sides of the joins below start at an exchange, where a hot key's partition can be split.
+    shared = cut(found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h"))
     places = cut(found.join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_list("at")).alias("at")))
-    discard(found)
+    discard(found, shared)
 
     def windows(batch, texts):
         hashes = texts.word_hashes()
@@ -107,7 +108,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text
 
     near = join_small(docs, places, "k", "inner")
     index = cut(map_texts(near, "t", windows, f"k {kind}, s int, a long, b long"))
-    first_in = index.groupBy("a", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    first_in = cut(index.groupBy("a", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("a", "b", "lo"))
     later = index.join(first_in, ["a", "b"]).where("k > lo").groupBy("k").agg(F.collect_set("s").alias("s"))
 
     def factors(batches):
@@ -123,7 +124,7 @@ def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text
     everything = np.array([0, -1], np.int32).tobytes()
     spans = later.mapInArrow(factors, f"k {kind}, spans binary").union(copies.select("k", F.lit(bytearray(everything)).alias("spans")))
     spans = cut(spans)
-    discard(places, index, copies)
+    discard(places, index, first_in, copies)
     return spans, [spans]
 
 
