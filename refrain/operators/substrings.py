@@ -180,3 +180,38 @@ def longest_prefix_matches(texts: DataFrame, dictionary: DataFrame, key: str = "
         parts.append(at.select(key, "pos", F.col("t").substr(F.col("pos") * 4 - 3, F.lit(4 * n)).alias("sub"), F.lit(n).alias("depth")))
     hits = reduce(DataFrame.union, parts).join(entries, "sub")
     return hits.groupBy(key, "pos").agg(F.max_by("node", "depth").alias("node"), F.max("depth").alias("depth"))
+
+
+def sketch_dump(streams: DataFrame, k: int, max_freq: int = 1 << 20) -> DataFrame:
+    """The whole state of a sketch of each stream: (stream_id, node, parent, label, depth, children, freq, threshold, renormalised).
+
+    Only nodes in use; a stream whose sketch has none is absent.
+    """
+    names = ["stream_id", "node", "parent", "label", "depth", "children", "freq", "threshold", "renormalised"]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for stream, data in zip(batch.column("stream_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            s = _sketch_rows([data or b""], k, max_freq)
+            found += [(stream, v, parent, label, len(sub), s.children[v], freq, s.threshold, s.renormalised) for v, parent, label, freq, sub in s.rows()]
+        columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+    return map_rows(streams.select("stream_id", "bytes"), work, ", ".join(f"{n} long" for n in names))
+
+
+def lcp_array(texts: DataFrame, key: str = "stream_id") -> DataFrame:
+    """(key, rank, pos, lcp): suffix order and common prefixes of neighbours, for small binary texts; a row each is not shuffled."""
+    from refrain.operators.lz77 import _common, suffix_array
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: list[list[int]] = [[], [], [], []]
+        for stream, data in zip(batch.column(key).to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            order = suffix_array(data).tolist() if data else []
+            for rank, pos in enumerate(order):
+                common = _common(data, *sorted((order[rank - 1], pos))) if rank else 0
+                for column, value in zip(columns, (stream, rank, pos, common), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [key, "rank", "pos", "lcp"])
+
+    return map_rows(texts.select(key, "bytes"), work, f"{key} long, rank long, pos long, lcp long")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refrain.functions.scalar import fingerprint, varint_size
-from refrain.operators import chunks, hybrid, lz77, lz78, metrics, substrings, tokens
+from refrain.operators import blockcodec, chunks, hybrid, lz77, lz78, metrics, substrings, tokens
 from refrain.plans import planner
+from refrain.plans.compressor import compress, prepass_decode, prepass_encode
 from refrain.runtime import cut, shared_dir
 from refrain.sources import corpus as sources
 from refrain.streaming.parse import stream_lz78
@@ -175,6 +176,35 @@ def token_cost_rollup(spark, sf_dir):
     return out.select(F.coalesce(F.col("type").cast("int"), F.lit(-1)).alias("type"), "n", "header_bits", "data_bits")  # -1: all types
 
 
+def token_blocks_roundtrip(spark, sf_dir):
+    """Tokens packed into blocks of bytes and unpacked again."""
+    out = blockcodec.decode_blocks(blockcodec.encode_blocks(_lz78_tokens(spark, sf_dir)), 64)
+    return out.select(F.col("stream_id").alias("item_id"), "ord", "block_id", F.col("type").cast("int").alias("type"), "value")
+
+
+def token_header_bits(spark, sf_dir):
+    return blockcodec.header_bits(_lz78_tokens(spark, sf_dir), 64).withColumnRenamed("stream_id", "item_id")
+
+
+def compress_roundtrip(spark, sf_dir):
+    """Planned under memory of a megabyte, with the pre-pass decided by the gate."""
+    return _as_documents(compress(_documents(spark, sf_dir), 1 << 20).decompress())
+
+
+def prepass_roundtrip(spark, sf_dir):
+    return _as_documents(prepass_decode(prepass_encode(_documents(spark, sf_dir), SAMPLING)))
+
+
+def suffix_order(spark, sf_dir):
+    """Suffixes of each benchmark text in order, with the prefix each has in common with the one before."""
+    return substrings.lcp_array(_benchmark(spark, sf_dir)).groupBy(F.col("stream_id").alias("item_id")).agg(F.count("*").alias("n"), F.sum("lcp").alias("lcp"), F.sum(F.col("rank") * F.col("pos")).alias("order"))
+
+
+def sketch_state(spark, sf_dir):
+    dump = substrings.sketch_dump(_benchmark(spark, sf_dir), 256, CAP)
+    return dump.groupBy(F.col("stream_id").alias("item_id")).agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), F.max("threshold").alias("threshold"), F.max("renormalised").alias("renormalised"))
+
+
 def token_huffman_costs(spark, sf_dir):
     """Optimal prefix codes lie within one bit a token of the entropy: both, by stream and block, for literals."""
     rows = _lz78_tokens(spark, sf_dir).where(F.col("type") == tokens.LITERAL)
@@ -266,7 +296,7 @@ def lang_source_cube(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     topk_substrings_global, topk_substrings_by_lang, topk_substrings_unbounded, substring_len_histogram, topk_fingerprints, frequencies_csv, topk_overlap_score, approx_topk_bounds, approx_topk_merged,
     lz78_roundtrip, topk_lz78_roundtrip, lz78_age_roundtrip, lz77_roundtrip, lz77_blockwise_roundtrip, topk_lz77_roundtrip, topk_lz77_sampled_roundtrip, topk_lz77_len_check, hybrid_phrase_stats,
-    lz78_phrase_stats, lz77_phrase_stats, lpf_relational, token_block_ranges, token_cost_rollup, token_huffman_costs, literal_entropy, byte_histogram, varint_sizes, lz78_ref_bits, memory_plan,
+    lz78_phrase_stats, lz77_phrase_stats, lpf_relational, token_block_ranges, token_cost_rollup, token_blocks_roundtrip, token_header_bits, token_huffman_costs, compress_roundtrip, prepass_roundtrip, suffix_order, sketch_state, literal_entropy, byte_histogram, varint_sizes, lz78_ref_bits, memory_plan,
     chunk_cardinality_gate, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
 )}
 
@@ -324,7 +354,7 @@ ORACLES = {
     "topk_overlap_score": f"""WITH e AS ({_global()}), a AS ({_global("role = 'user'")}), h AS (SELECT count(*) AS hits FROM e WHERE sub IN (SELECT sub FROM a))
       SELECT (SELECT count(*) FROM a) AS k, hits, round(hits / (SELECT count(*) FROM a)::DOUBLE, 6) AS score FROM h""",
     "approx_topk_bounds": "SELECT 0::BIGINT AS above, 0::BIGINT AS unused, 0::BIGINT AS orphans",
-    **dict.fromkeys(("lz78_roundtrip", "topk_lz78_roundtrip", "lz78_age_roundtrip", "lz77_roundtrip", "lz77_blockwise_roundtrip", "topk_lz77_roundtrip", "topk_lz77_sampled_roundtrip"), _DOCUMENTS),
+    **dict.fromkeys(("lz78_roundtrip", "topk_lz78_roundtrip", "lz78_age_roundtrip", "lz77_roundtrip", "lz77_blockwise_roundtrip", "topk_lz77_roundtrip", "topk_lz77_sampled_roundtrip", "compress_roundtrip", "prepass_roundtrip"), _DOCUMENTS),
     "topk_lz77_len_check": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, 0::BIGINT AS gaps FROM documents WHERE text IS NOT NULL AND text <> ''",
     "lz78_phrase_stats": _LZ78 + " SELECT item_id, count(*) AS z, max(len)::BIGINT AS len_max, round(avg(len), 2) AS len_avg FROM p GROUP BY item_id",
     "lz77_phrase_stats": _LPF
@@ -336,6 +366,12 @@ ORACLES = {
     + f""", top AS (SELECT item_id, type, max(max) AS top FROM ranges GROUP BY item_id, type),
       cost AS (SELECT type, n, CASE WHEN top <= 1 THEN 0 ELSE ({_WIDTH('top')}) + ({_WIDTH('(top - min)')}) END AS h, CASE WHEN top <= 1 THEN n ELSE n * ({_WIDTH('(max - min)')}) END AS d FROM ranges JOIN top USING (item_id, type))
       SELECT coalesce(type, -1)::INT AS type, sum(n)::BIGINT AS n, sum(h)::BIGINT AS header_bits, sum(d)::BIGINT AS data_bits FROM cost GROUP BY ROLLUP (type)""",
+    "token_blocks_roundtrip": _TOKENS + ", o AS (SELECT item_id, type, value, row_number() OVER (PARTITION BY item_id ORDER BY seq, i) - 1 AS ord FROM t0) SELECT item_id, ord, ord // 64 AS block_id, type::INT AS type, value::BIGINT AS value FROM o",
+    "token_header_bits": _TOKENS + ", n AS (SELECT item_id, block_id, count(*) AS n FROM t GROUP BY ALL) SELECT item_id, count(*) AS blocks, (32 + sum(CASE WHEN n < 64 THEN 7 ELSE 1 END))::BIGINT AS bits FROM n GROUP BY item_id",
+    "suffix_order": f"""WITH {_BYTES}, s AS (SELECT item_id, i - 1 AS pos, substr(text, i) AS suffix FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM b)),
+      r AS (SELECT item_id, pos, suffix, row_number() OVER w - 1 AS rank, lag(suffix) OVER w AS before FROM s WINDOW w AS (PARTITION BY item_id ORDER BY suffix)),
+      c AS (SELECT item_id, pos, rank, coalesce(len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda n: substr(suffix, 1, n) = substr(before, 1, n))), 0) AS lcp FROM r)
+      SELECT item_id, count(*) AS n, sum(lcp)::BIGINT AS lcp, sum(rank * pos)::BIGINT AS "order" FROM c GROUP BY item_id""",
     "literal_entropy": _LZ78
     + """, c AS (SELECT item_id, lit, count(*) AS c FROM p WHERE lit IS NOT NULL GROUP BY item_id, lit)
       SELECT item_id, sum(c)::BIGINT AS n, count(*) AS symbols, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS entropy_bits FROM c GROUP BY item_id""",
