@@ -2,9 +2,11 @@
 
 Documents with equal sets are one class. Every class is embedded as a row of min-hashes, tokens that two sets share with
 a probability equal to their similarity. A run splits the classes by one sampled token after another: those that chose
-the same tokens so far are in one bucket. Buckets that are small enough are compared by brute force on the min-hashes,
-larger ones are split again, and what is still large after the last split is compared in blocks. Enough runs are made
-that a pair at the threshold is missed with the wanted small probability. Classes that look alike in some bucket are put
+the same tokens so far are in one bucket. Buckets that are small are compared by brute force on the min-hashes, and so,
+in blocks, are large ones whose members are alike on average: splitting would not part them, only lose pairs. Other
+large buckets are split again, by two tokens each time, so that a similar pair rarely loses all common paths; what is
+still large after the last split is compared in blocks. Enough runs are made that a pair at the threshold is missed with
+the wanted small probability. Classes that look alike in some bucket are put
 in one candidate group, and inside each group all pairs are tested on their exact sets.
 """
 
@@ -31,9 +33,10 @@ class Settings:
     denominator: int = 5
     tokens: int = 64  # min-hashes of a class
     first: int = 3  # tokens chosen before buckets are first looked at
-    last: int = 7  # tokens of the deepest split
+    last: int = 6  # tokens of the deepest split
+    dense: float = 0.5  # average share of min-hashes that a bucket's members have in common with its first, from which it is not split
     small: int = 256  # classes in a bucket that is compared whole
-    missed: float = 0.001  # of pairs at the threshold, wanted after all runs
+    missed: float = 0.0002  # of pairs at the threshold, wanted after all runs
     alike: float = 0.62  # least share of equal min-hashes of a candidate, 3.6 standard deviations under the threshold
     block_rows: int = 2048
     block_cost: int = 1 << 20  # n-grams in a block
@@ -126,8 +129,8 @@ def _exact(s: Settings):
 def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     """(a, b): a forest over classes that look alike in some bucket."""
     rng = np.random.default_rng(s.seed + 1)
-    chosen = np.array([rng.permutation(s.tokens)[: s.last] + 1 for _ in range(s.runs)])  # 1-based, for element_at
-    pick = lambda depth: F.element_at("tokens", F.element_at(F.array(*(F.lit(int(x)) for x in chosen[:, depth])), F.col("r") + 1))
+    chosen = np.array([rng.permutation(s.tokens)[: 2 * s.last] + 1 for _ in range(s.runs)])  # 1-based, for element_at
+    pick = lambda i: F.element_at("tokens", F.element_at(F.array(*(F.lit(int(x)) for x in chosen[:, i])), F.col("r") + 1))
     rows = classes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(s.runs - 1))))
     rows = cut(rows.select("r", "c", F.xxhash64("r", *(pick(d) for d in range(s.first))).alias("path")))
     done, used = [], [rows]
@@ -135,12 +138,22 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         rows = cut(rows.join(sizes, "path"))
         used.append(rows)
-        last = depth == s.last
-        done.append((rows if last else rows.where(F.col("size") <= s.small)).select("path", "c", "size"))
-        rows = rows.where(F.col("size") > s.small)
-        if last or rows.isEmpty():
+        if depth == s.last:
+            done.append(rows.select("path", "c", "size"))
             break
-        rows = cut(rows.drop("size").join(classes.select("c", "tokens"), "c").select("r", "c", F.xxhash64("path", pick(depth)).alias("path")))
+        done.append(rows.where(F.col("size") <= s.small).select("path", "c", "size"))
+        large = rows.where(F.col("size") > s.small)
+        if large.isEmpty():
+            break
+        large = cut(large.join(classes.select("c", "tokens"), "c"))
+        heads = cut(large.groupBy("path").agg(F.min_by("tokens", "c").alias("head")))
+        same = F.size(F.filter(F.zip_with("tokens", "head", lambda a, b: a == b), lambda x: x)) / s.tokens
+        alike = cut(join_small(large, heads, "path", "inner").groupBy("path").agg(F.avg(same).alias("alike")))
+        large = cut(join_small(large, alike, "path", "inner"))
+        used += [large, heads, alike]
+        done.append(large.where(F.col("alike") >= s.dense).select("path", "c", "size"))
+        split = F.explode(F.array(*(F.xxhash64("path", F.lit(i), pick(i)) for i in (2 * depth, 2 * depth + 1))))
+        rows = cut(large.where(F.col("alike") < s.dense).select("r", "c", split.alias("path")))
         used.append(rows)
     buckets = reduce(DataFrame.union, done).withColumnRenamed("path", "g")
     groups = cut(buckets.groupBy("g").agg(F.ceil(F.max("size") / (4 * s.small)).cast("int").alias("blocks")))

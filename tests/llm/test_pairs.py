@@ -94,7 +94,7 @@ def test_jaccard(spark, odd_rows, tight):
         rows.append((200 + 2 * i, " ".join(one), "en", "s"))
         one[rng.randrange(80)] = "changed"
         rows.append((201 + 2 * i, " ".join(one), "en", "s"))
-    settings = jaccard.Settings(small=4, last=4, block_rows=16) if tight else jaccard.Settings()
+    settings = jaccard.Settings(small=4, last=5, block_rows=16) if tight else jaccard.Settings()
     got = jaccard.similar_documents(documents(spark, rows), settings=settings).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None} == brute_jaccard(rows)
 
