@@ -33,7 +33,7 @@ _PREFIXES = (4, 5, 6, 7)
 class Settings:
     sample: int = 4000  # training documents of each label, at most about
     lexicon: int = 4096  # learned entries, at most
-    least: int = 6  # toxic training documents that must hold an entry
+    least: int = 3  # toxic training documents that must hold an entry
     odds: float = 2.5  # least log odds ratio of an entry
     near: int = 4  # words between a hit and a second-person word
     trees: int = 50
