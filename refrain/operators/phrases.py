@@ -20,22 +20,25 @@ class Phrases:
     """Collects phrases of several streams as columns. Absent numbers are written as -1 and become null."""
 
     def __init__(self):
-        self.columns: list[list[int]] = [[] for _ in range(9)]
+        self.flat: list[int] = []  # nine numbers a phrase
         self.stream = self.window = self.seq = self.pos = 0
 
     def start(self, stream: int) -> None:
         self.stream, self.window, self.seq, self.pos = stream, 0, 0, 0
 
     def add(self, kind: int, length: int, dist: int = -1, node: int = -1, literal: int = -1) -> None:
-        for column, value in zip(self.columns, (self.stream, self.window, self.seq, kind, self.pos, length, dist, node, literal), strict=True):
-            column.append(value)
+        self.flat += (self.stream, self.window, self.seq, kind, self.pos, length, dist, node, literal)
         self.seq += 1
         self.pos += length
 
+    @property
+    def columns(self) -> np.ndarray:
+        """A row of numbers for each column of the table."""
+        return np.array(self.flat, np.int64).reshape(-1, 9).T
+
     def batch(self) -> pa.RecordBatch:
         arrays = []
-        for f, values in zip(_ARROW, self.columns, strict=True):
-            x = np.array(values, np.int64)
+        for f, x in zip(_ARROW, self.columns, strict=True):
             if f.name == "kind":
                 arrays.append(pa.array(np.array(KINDS, object)[x], pa.string()))
             elif f.name in ("dist", "node", "literal"):

@@ -21,7 +21,7 @@ EDGES = [b"a", b"aaaaaaaa", b"abababab", b"abcdefg", b"mississippi", b"abracadab
 def phrases(data: bytes, dictionary) -> list[tuple]:
     out = Phrases()
     parse_into(out, data, dictionary)
-    return list(zip(out.columns[7], out.columns[8], out.columns[5], strict=True))
+    return [tuple(r) for r in out.columns[[7, 8, 5]].T.tolist()]
 
 
 def substring_sketch(data: bytes, k: int, max_freq: int) -> FrequentPrefixes:
@@ -65,7 +65,7 @@ def test_golden_hybrid():
         for base in range(0, 8, window):
             part = b"abababab"[base : base + window]
             hybrid.parse_window(out, part, sketch, references(part), 1)
-        return [["lit", "ref", "node", "trie"][k] for k in out.columns[3]], out.columns[5]
+        return [["lit", "ref", "node", "trie"][k] for k in out.columns[3]], out.columns[5].tolist()
 
     assert parse(8) == (["lit", "lit", "ref"], [1, 1, 6])
     assert parse(4) == (["lit", "lit", "ref", "trie", "lit", "ref"], [1, 1, 2, 1, 1, 2])
