@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from refrain.arrowio import map_groups, map_rows
 from refrain.operators.chunks import approximate_references
-from refrain.operators.dictionaries import FrequentPrefixes
+from refrain.operators.dictionaries import ROOT, FrequentPrefixes
 from refrain.operators.lz77 import references
 from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, TRIE, Phrases, copy, decoded, rows
 
@@ -23,9 +23,9 @@ def _sketch(k: int, max_freq: int) -> FrequentPrefixes:
 
 def parse_window(out: Phrases, data: bytes, sketch: FrequentPrefixes, refs: list[tuple[int, int, int]], suffixes: int) -> None:
     """Phrases of one window, which also enter the sketch."""
-    at, z, n = 0, 0, len(data)
+    at, z, n, edges = 0, 0, len(data), sketch.edges
     while at < n:
-        node, depth = sketch.find(data, at, n)
+        node, depth = sketch.find(data, at, n) if data[at] in edges else (ROOT, 0)  # an edge of the root has its letter as key
         while z < len(refs) and at >= refs[z][0] + refs[z][2]:
             z += 1
         left = refs[z][2] - (at - refs[z][0]) if z < len(refs) and at >= refs[z][0] else 0

@@ -8,25 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.arrowio import map_groups, map_rows
-from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, Phrases, copy, decoded, rows
+from refrain.operators.phrases import DECODED, REF, SCHEMA, Phrases, copy, decoded, rows
 
 
 def suffix_array(data: bytes) -> np.ndarray:
-    """Suffixes in order, by prefix doubling: O(n log n) a round, rounds logarithmic in the longest repeat."""
-    n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64)
-    k = 1
+    """Suffixes in order, by prefix doubling from seven letters on: O(n log n) a round, rounds logarithmic in the longest repeat."""
+    n, k = len(data), 7
+    letters = np.zeros(n + k, np.int64)
+    letters[:n] = np.frombuffer(data, np.uint8).astype(np.int64) + 1
+    key = np.zeros(n, np.int64)
+    for i in range(k):
+        key = key * 257 + letters[i : i + n]
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (max(n, 256) + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        if new.all() or k >= n:
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.ones(n, np.int64)
+        new[1:] = ordered[1:] != ordered[:-1]
+        place = np.cumsum(new)
+        if place[-1] == n or k >= n:
             return order
+        rank = np.empty(n, np.int64)
+        rank[order] = place
+        key = rank * (n + 1)
+        key[: n - k] += rank[k:]
         k *= 2
 
 
@@ -43,8 +47,12 @@ def _smaller_neighbours(order: list[int]) -> tuple[list[int], list[int]]:
 
 
 def _common(data: bytes, a: int, b: int) -> int:
-    """Length of the longest common prefix of data[a:] and data[b:], a < b, by doubling steps and then halving ones."""
-    n, at, step = len(data) - b, 0, 8
+    """Length of the longest common prefix of data[a:] and data[b:], a < b: letters one by one, then doubling and halving steps."""
+    n, at, step = len(data) - b, 0, 16
+    while at < n and at < step and data[a + at] == data[b + at]:
+        at += 1
+    if at < step:
+        return at
     while at + step <= n and data[a + at : a + at + step] == data[b + at : b + at + step]:
         at += step
         step *= 2
@@ -94,12 +102,10 @@ def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int =
             for base in range(0, len(data or b""), size):
                 part, at = data[base : base + size], 0
                 for pos, dist, length in references(part, min_ref_len):
-                    for c in part[at:pos]:
-                        out.add(LIT, 1, literal=c)
+                    out.literals(part[at:pos])
                     out.add(REF, length, dist=dist)
                     at = pos + length
-                for c in part[at:]:
-                    out.add(LIT, 1, literal=c)
+                out.literals(part[at:])
                 out.window += 1
         return out.batch()
 

@@ -31,6 +31,15 @@ class Phrases:
         self.seq += 1
         self.pos += length
 
+    def literals(self, data: bytes) -> None:
+        """A literal for each byte."""
+        flat, stream, window, seq, pos = self.flat, self.stream, self.window, self.seq, self.pos
+        for c in data:
+            flat += (stream, window, seq, LIT, pos, 1, -1, -1, c)
+            seq += 1
+            pos += 1
+        self.seq, self.pos = seq, pos
+
     @property
     def columns(self) -> np.ndarray:
         """A row of numbers for each column of the table."""
