@@ -38,7 +38,7 @@ class Settings:
     small: int = 256  # classes in a bucket that is compared whole
     missed: float = 0.0002  # of pairs at the threshold, wanted after all runs
     alike: float = 0.62  # least share of equal min-hashes of a candidate, 3.6 standard deviations under the threshold
-    block_rows: int = 2048
+    block_rows: int = 1024
     block_cost: int = 1 << 20  # n-grams in a block
     seed: int = 53
 
