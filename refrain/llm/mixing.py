@@ -57,9 +57,10 @@ def counted(docs: DataFrame, key: str = "doc_id", source: str = "source", weight
     """The rows of ``docs`` whose source has a rate, with _rate and the drawn _count (which may be 0)."""
     table = cut(rates(docs, source, weights, total))
     rows = join_small(docs.withColumn("_source", F.col(source)), table, "_source", "inner")
-    u = lambda part: uniform(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), part.cast("string"))
-    draw = lambda part: F.size(F.filter("cumulative", lambda c: c < u(part)))
-    drawn = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), draw), F.lit(0), lambda a, b: a + b)
+    number = lambda part: uniform(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), part.cast("string"))
+    draw = lambda u: F.size(F.filter("cumulative", lambda c: c < u))
+    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), number)  # hashed once, not for each term
+    drawn = F.aggregate(F.transform(numbers, draw), F.lit(0), lambda a, b: a + b)
     return rows.withColumn("_count", drawn).withColumnRenamed("rate", "_rate").drop("_source", "parts", "cumulative")
 
 
