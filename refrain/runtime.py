@@ -37,14 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with the session's codec or another, and read it back: lineage ends there.
 
     Lost executors then cost a re-read, never a recomputation of the steps before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/refrain-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._refrain_path = path
     return out
