@@ -64,6 +64,26 @@ def test_vectors(spark):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [32, 1])
+def test_vectors_in_a_clump(spark, window):
+    """Lone pairs among thousands of vectors round one centre: signs hardly part such a clump, so sorted windows missed many."""
+    rng = np.random.default_rng(7)
+    centre = np.eye(64)[0]
+    side = rng.normal(size=(4000, 64))
+    side[:, 0] = 0
+    x = np.sqrt(0.8) * centre + np.sqrt(0.2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    step = rng.normal(size=(300, 64))
+    step -= (step * x[:300]).sum(1, keepdims=True) * x[:300]
+    pairs = 0.952 * x[:300] + np.sqrt(1 - 0.952**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([x, pairs])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(frame, settings=vectors.Settings(window=window)).collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want.sum() >= 600
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 def shingles(text, k=5):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])
