@@ -5,15 +5,17 @@ a probability equal to their similarity. A run splits the classes by one sampled
 the same tokens so far are in one bucket. Buckets that are small are compared by brute force on the min-hashes, and so,
 in blocks, are large ones whose members are alike on average: splitting would not part them, only lose pairs. Other
 large buckets are split again, by two tokens each time, so that a similar pair rarely loses all common paths; what is
-still large after the last split is compared in blocks. Enough runs are made that a pair at the threshold is missed with
-the wanted small probability. Classes that look alike in some bucket are put
+still large after the last split is compared in blocks. Each run has min-hashes of its own, so runs are independent;
+enough are made that a pair at the threshold is missed with the wanted small probability, even if its buckets are split
+down to the last level in every run. Brute force compares a byte of each min-hash of all runs. Classes that look alike in some bucket are put
 in one candidate group, and inside each group all pairs are tested on their exact sets.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +33,37 @@ class Settings:
     words: int = 5
     numerator: int = 4  # similarity 4/5 or more links
     denominator: int = 5
-    tokens: int = 64  # min-hashes of a class
     first: int = 3  # tokens chosen before buckets are first looked at
     last: int = 6  # tokens of the deepest split
     dense: float = 0.5  # average share of min-hashes that a bucket's members have in common with its first, from which it is not split
     small: int = 256  # classes in a bucket that is compared whole
-    missed: float = 0.0002  # of pairs at the threshold, wanted after all runs
-    alike: float = 0.62  # least share of equal min-hashes of a candidate, 3.6 standard deviations under the threshold
+    missed: float = 0.0002  # of pairs at the threshold, wanted after all runs, splits and comparisons
+    alike: float = 0.62  # least share of equal min-hashes of a candidate; what it loses at the threshold counts as missed
     block_rows: int = 1024
     block_cost: int = 1 << 20  # n-grams in a block
     seed: int = 53
 
     @property
+    def width(self) -> int:
+        """Min-hashes of a run: the first tokens, and two for each split."""
+        return self.first + 2 * (self.last - self.first)
+
+    def loses(self, runs: int) -> float:
+        """Bound of the probability that a pair at the threshold is lost: by all runs, or by the cut of all their min-hashes."""
+        same = self.numerator / self.denominator
+        found = same**self.first * (1 - (1 - same) ** 2) ** (self.last - self.first)  # split at every level
+        n = runs * self.width
+        cut_off = sum(comb(n, i) * same**i * (1 - same) ** (n - i) for i in range(ceil(self.alike * n)))
+        return (1 - found) ** runs + cut_off
+
+    @cached_property
     def runs(self) -> int:
-        return int(np.ceil(np.log(self.missed) / np.log(1 - (self.numerator / self.denominator) ** self.first)))
+        return next(r for r in range(1, 1000) if self.loses(r) <= self.missed)
+
+    @property
+    def tokens(self) -> int:
+        """Min-hashes of a class."""
+        return self.runs * self.width
 
 
 def sets_of(texts: Texts, k: int) -> list[np.ndarray]:
@@ -93,11 +112,14 @@ def sketches(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
 
 def _alike(s: Settings):
     def similar(left: list[bytes], right: list[bytes]) -> np.ndarray:
-        a, b = (np.stack([np.frombuffer(p, np.int32) for p in side]) for side in (left, right))
-        out = np.zeros((len(a), len(b)), bool)
-        step = max(1, (1 << 22) // (len(b) * s.tokens))
-        for lo in range(0, len(a), step):
-            out[lo : lo + step] = (a[lo : lo + step, None, :] == b[None, :, :]).sum(2) >= s.alike * s.tokens
+        a, b = (np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in side]).T) for side in (left, right))
+        out = np.zeros((a.shape[1], b.shape[1]), bool)
+        step = max(1, (1 << 17) // b.shape[1])
+        for lo in range(0, a.shape[1], step):
+            same = np.zeros((len(a[0, lo : lo + step]), b.shape[1]), np.uint16)
+            for x, y in zip(a[:, lo : lo + step], b, strict=True):
+                same += x[:, None] == y[None, :]
+            out[lo : lo + step] = same >= s.alike * s.tokens
         return out
 
     return similar
@@ -128,9 +150,7 @@ def _exact(s: Settings):
 
 def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     """(a, b): a forest over classes that look alike in some bucket."""
-    rng = np.random.default_rng(s.seed + 1)
-    chosen = np.array([rng.permutation(s.tokens)[: 2 * s.last] + 1 for _ in range(s.runs)])  # 1-based, for element_at
-    pick = lambda i: F.element_at("tokens", F.element_at(F.array(*(F.lit(int(x)) for x in chosen[:, i])), F.col("r") + 1))
+    pick = lambda i: F.element_at("tokens", F.col("r") * s.width + i + 1)
     rows = classes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(s.runs - 1))))
     rows = cut(rows.select("r", "c", F.xxhash64("r", *(pick(d) for d in range(s.first))).alias("path")))
     done, used = [], [rows]
@@ -152,7 +172,7 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
         large = cut(join_small(large, alike, "path", "inner"))
         used += [large, heads, alike]
         done.append(large.where(F.col("alike") >= s.dense).select("path", "c", "size"))
-        split = F.explode(F.array(*(F.xxhash64("path", F.lit(i), pick(i)) for i in (2 * depth, 2 * depth + 1))))
+        split = F.explode(F.array(*(F.xxhash64("path", F.lit(i), pick(i)) for i in (2 * depth - s.first, 2 * depth - s.first + 1))))
         rows = cut(large.where(F.col("alike") < s.dense).select("r", "c", split.alias("path")))
         used.append(rows)
     buckets = reduce(DataFrame.union, done).withColumnRenamed("path", "g")
@@ -161,7 +181,7 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     def packed(batches):
         for batch in batches:
             lists = batch.column("tokens")
-            data = [np.asarray(x.values).astype(np.int32).tobytes() for x in lists]
+            data = [np.asarray(x.values).astype(np.uint8).tobytes() for x in lists]  # a byte differs with a probability of 255/256 if the hash does
             yield pa.RecordBatch.from_arrays([batch.column("g"), batch.column("item"), batch.column("weight"), pa.array(data, pa.binary())], ["g", "item", "weight", "payload"])
 
     items = buckets.join(classes.select("c", "tokens"), "c").select("g", F.col("c").alias("item"), F.lit(1).cast("long").alias("weight"), "tokens")

@@ -119,6 +119,22 @@ def test_jaccard(spark, odd_rows, tight):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None} == brute_jaccard(rows)
 
 
+def test_jaccard_misses_as_few_as_stated(spark):
+    """Lone pairs at the threshold whose buckets are split in every run, as those of a large shared passage are."""
+    import pyarrow as pa
+
+    s = jaccard.Settings(small=1, dense=1.1, last=8, missed=0.01)
+    rng = np.random.default_rng(12)
+    n = 1500
+    a = rng.integers(-(2**31), 2**31, (n, s.tokens), dtype=np.int32)
+    b = np.where(rng.random((n, s.tokens)) < 0.8, a, rng.integers(-(2**31), 2**31, (n, s.tokens), dtype=np.int32))
+    both = np.concatenate([a, b])
+    tokens = pa.ListArray.from_arrays(pa.array(np.arange(0, both.size + 1, s.tokens, dtype=np.int32)), pa.array(both.ravel()))
+    classes = spark.createDataFrame(pa.table({"c": pa.array(np.arange(2 * n)), "tokens": tokens})).repartition(4).cache()
+    found = jaccard._candidates(classes, s).where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct().where(f"b = a + {n}").count()
+    assert n - found <= 1.5 * s.missed * n
+
+
 def test_jaccard_empty(none):
     assert jaccard.similar_documents(none).count() == 0
 
