@@ -1,4 +1,4 @@
-"""Row-wise and group-wise Python operators over Arrow batches of bounded size."""
+"""Row-wise and group-wise Python operators over Arrow batches, whose bytes Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch)."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame
 
 def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 256) -> DataFrame:
     """Run ``work`` on batches of at most ``rows`` rows, where they lie: no shuffle."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -21,10 +19,8 @@ def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
-def map_groups(df: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str, rows: int = 20_000) -> DataFrame:
+def map_groups(df: DataFrame, key: str, order: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """Run ``work`` on the rows of each key, in ``order``: one shuffle by key, one group in memory at a time."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +17,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 
 
+#: Tables made in each open scope of ``tables``, the innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
 def workers_see_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from the driver's source tree."""
-    root = str(Path(__file__).resolve().parents[1])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    """Let Python workers import this package: from the source tree in local mode, else from a zip that the driver serves.
+
+    The zip is made once a context; executors fetch it like any file added to the application.
+    """
+    package, context = Path(__file__).resolve().parent, spark.sparkContext
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        env, root = context.environment, str(package.parent)
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+        return
+    if getattr(context, "_refrain_zip", None):
+        return
+    context._refrain_zip = os.path.join(tempfile.mkdtemp(prefix="refrain-"), f"{package.name}.zip")  # the driver's own; it sends it
+    with zipfile.ZipFile(context._refrain_zip, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(context._refrain_zip)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,24 +66,39 @@ def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
     (df.write.option("compression", codec) if codec else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._refrain_path = path
+    _file_system(out).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))  # at the end of the application, if nothing deletes it before
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+def _file_system(df: DataFrame):
+    return df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._refrain_path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def tables() -> Iterator[list[DataFrame]]:
+    """Tables that ``cut`` makes inside the block are deleted when it ends, but for those taken off the list it yields."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        discard(*made)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for df in tables:
         path = getattr(df, "_refrain_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            _file_system(df).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def table_bytes(df: DataFrame) -> int:
     """Bytes on disk of a table made by ``cut``."""
-    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._refrain_path)
-    fs = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(target).getLength())
+    return int(_file_system(df).getContentSummary(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._refrain_path)).getLength())
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:

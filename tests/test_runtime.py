@@ -50,3 +50,20 @@ def test_late_events(spark, tmp_path):
     query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["total"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3.0]
+
+
+def test_tables_of_a_scope_go(spark):
+    with runtime.tables() as made:
+        gone, stays = runtime.cut(spark.range(3)), runtime.cut(spark.range(4))
+        made.remove(stays)
+    assert not os.path.exists(gone._refrain_path.removeprefix("file:")) and stays.count() == 4
+    runtime.discard(stays)
+
+
+def test_operators_leave_the_session_alone(spark):
+    from refrain.operators.lz78 import lz78_decode, lz78_parse
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    streams = spark.createDataFrame([(1, bytearray(b"abracadabra"))], "stream_id long, bytes binary")
+    assert lz78_decode(lz78_parse(streams)).count() == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
