@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Rows of one Arrow batch sent to a Python worker, and bytes of text handled at a time within it.
-BATCH_ROWS, SLICE_BYTES = 1000, 1 << 18
+#: Bytes of text handled at a time within an Arrow batch, whose own bytes Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch).
+SLICE_BYTES = 1 << 18
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U = np.uint64
@@ -127,8 +127,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
 
 
 def map_texts(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, Texts], pa.RecordBatch | None], schema: str, size: int = SLICE_BYTES) -> DataFrame:
-    """Run ``work`` over slices of the rows of ``df``, in Arrow batches of bounded size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Run ``work`` over slices of the rows of ``df``: of at most ``size`` bytes of text each, or of one longer row."""
 
     def run(batches):
         for batch in batches:
@@ -140,12 +139,12 @@ def map_texts(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, Texts],
     return df.mapInArrow(run, schema)
 
 
-def grouped_stream(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def grouped_stream(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """Call ``work`` with the rows of each key, as one Arrow table in ``order``; rows arrive sorted, one group in memory at a time.
 
-    Callers bound their groups (blocks of bounded rows and bytes). Cheaper for many tiny groups than one pandas frame each.
+    Callers bound their groups (blocks of bounded rows and bytes); a row wider than a block is held whole all the same.
+    Cheaper for many tiny groups than one pandas frame each.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
     def run(batches):
         held: list[pa.RecordBatch] = []

@@ -32,7 +32,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def compare_in_blocks(items: DataFrame, groups: DataFrame, similar: Callable[[list, list], np.ndarray], rows: int) -> DataFrame:
+def compare_in_blocks(items: DataFrame, groups: DataFrame, similar: Callable[[list, list], np.ndarray]) -> DataFrame:
     """(item, links, root) for the items of each group, one row for each unit in which the item has a link.
 
     items: g long, item long, weight long, payload binary. groups, made by ``cut``: g long, blocks int.
@@ -65,4 +65,4 @@ def compare_in_blocks(items: DataFrame, groups: DataFrame, similar: Callable[[li
         keep = np.flatnonzero(links)
         return pa.table({"item": item[keep], "links": links[keep], "root": item[root[keep]]})
 
-    return grouped_stream(dealt, ["g", "i", "j"], ["item"], work, "item long, links long, root long", rows)
+    return grouped_stream(dealt, ["g", "i", "j"], ["item"], work, "item long, links long, root long")

@@ -186,7 +186,7 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
 
     items = buckets.join(classes.select("c", "tokens"), "c").select("g", F.col("c").alias("item"), F.lit(1).cast("long").alias("weight"), "tokens")
     items = items.mapInArrow(packed, "g long, item long, weight long, payload binary")
-    found = cut(compare_in_blocks(items, groups, _alike(s), 4096).select(F.col("item").alias("a"), F.col("root").alias("b")))
+    found = cut(compare_in_blocks(items, groups, _alike(s)).select(F.col("item").alias("a"), F.col("root").alias("b")))
     discard(*used, groups)
     return found
 
@@ -220,7 +220,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_arrays([*columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["g", "item", "weight", "payload"])
 
     items = map_texts(rows, "t", exact_sets, "g long, item long, weight long, payload binary")
-    units = cut(compare_in_blocks(items, sizes, _exact(s), 500))
+    units = cut(compare_in_blocks(items, sizes, _exact(s)))
     linked = components(units.select(F.col("item").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("least"))
     links = units.groupBy(F.col("item").alias("c")).agg(F.sum("links").alias("others"))
     result = cut(classes.select("a", "b", "n", "c", "weight").join(links, "c", "left").join(linked, "c", "left"))

@@ -208,7 +208,6 @@ def decode(rows: DataFrame, model: bytes, ids: str = "ids", to: str = "text") ->
     """``rows`` with the text of ``ids`` in column ``to`` (replaced if there): null for null ids."""
     kept = rows.drop(to)
     names = kept.columns
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
     def run(batches):
         for batch in batches:

@@ -1,14 +1,20 @@
 """Substring deduplication by relative Lempel-Ziv parsing against an index of all documents' blocks.
 
-The reference of a document is every document with a smaller id. Its blocks are runs of ``window`` words, known by
-128-bit hashes. A document is parsed greedily: where a block of the reference starts, the factor runs on for as long as
-the next block, one word further, is indexed too; its last block gives the factor's last boundary. Factors are thus
-maximal and at least ``window`` words long, and their words are duplicates.
+The reference of a document is every document with a smaller id. A block is a run of ``window`` words, known by a 128-bit
+hash; the index names the first place of every block that two documents hold: the least id, and there the least position.
+A document is parsed greedily from left to right. A factor begins at a word where a block of a reference begins; it has
+that block's place as its source and runs on word by word for as long as the next block continues at the same source.
+A factor thus equals one stretch of one reference and has ``window`` words at least. Where it ends, the blocks over its
+border are looked up too: one that another reference holds begins the next factor, which then overlaps the first.
+The words of factors are duplicates.
 
 Not every block needs an index entry. Anchors (minima of hashed half-windows over a sliding range) are chosen by content,
 at least one in every window, so a window shared by two documents holds an anchor that both chose. Only windows round
-an anchor that occurs in two documents are hashed in full and indexed. Whole copies of an earlier word sequence are
-duplicates throughout and are left out of the index, where they could add nothing.
+an anchor that occurs in two documents are hashed in full and indexed. A whole copy of an earlier word sequence is one
+factor from its first word to its last; it is left out of the index, where it could add nothing.
+
+Rows are told apart by id and a 64-bit hash of the text, so rows that share an id never share factors. All joins are
+shuffled: the tables grow with the documents.
 """
 
 from __future__ import annotations
@@ -19,12 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.arrowtext import Texts, as_long, map_texts, mix, window_hashes
-from refrain.runtime import cut as write_table, discard, join_small
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Positions and spans pack well: small tables stay under the limit of size-checked broadcasts longer."""
-    return write_table(df, "zstd")
+from refrain.runtime import cut, discard
 
 
 def _anchors(texts: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,18 +54,14 @@ def _anchors(texts: Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return row[pick], at[pick] - first[row[pick]], hashes[pick]
 
 
-def _pack(first: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.array([values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, d, t): id, hash of the text, text; (k, d) is a row's name in all tables."""
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return rows.select("k", F.xxhash64("t").alias("d"), "t")
 
 
-def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """(key, spans) of documents with duplicate words: int32 pairs (first word, end) as bytes, ascending and apart.
-
-    A whole copy has the one span (0, -1). The second result lists tables to discard once the first is used.
-    Null ids are neither reference nor parsed; rows with equal ids are no reference to each other. A null text is empty.
-    """
-    docs = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null")
-    kind = docs.schema["k"].dataType.simpleString()
+def _copies(rows: DataFrame, kind: str, window: int) -> DataFrame:
+    """(k, d, n, source, source_d) of rows whose n words, ``window`` at least, are all those of a row with a smaller id."""
 
     def whole(batch, texts):
         hashes = texts.word_hashes()
@@ -73,29 +70,37 @@ def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text
         if not len(long):
             return None
         a, b = (window_hashes(mix(hashes, s), first[long], first[long + 1]) for s in (1, 2))
-        return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(long)), as_long(a), as_long(b)], ["k", "a", "b"])
+        own = [batch.column(c).take(pa.array(long)) for c in ("k", "d")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(np.diff(first)[long].astype(np.int32)), as_long(a), as_long(b)], ["k", "d", "n", "a", "b"])
 
-    sequences = cut(map_texts(docs, "t", whole, f"k {kind}, a long, b long"))
-    least = sequences.groupBy("a", "b").agg(F.min("k").alias("m"), F.count("*").alias("n")).where("n > 1")
-    copies = cut(sequences.join(least, ["a", "b"]).where("k > m").select("k").distinct())
-    discard(sequences)
+    sequences = cut(map_texts(rows, "t", whole, f"k {kind}, d long, n int, a long, b long"))
+    # The least row is written first: then both sides of the join start at an exchange, where a hot key can be split.
+    least = sequences.groupBy("a", "b").agg(F.min(F.struct("k", "d")).alias("m"), F.max("k").alias("hi")).where("m.k < hi")
+    least = cut(least.select("a", "b", F.col("m.k").alias("source"), F.col("m.d").alias("source_d")))
+    copies = cut(sequences.join(least, ["a", "b"]).where("k > source").select("k", "d", "n", "source", "source_d").distinct())
+    discard(sequences, least)
+    return copies
+
+
+def _index(rows: DataFrame, copies: DataFrame, kind: str, window: int) -> DataFrame:
+    """(k, d, s, a, b): the blocks, by start and hash, of every row that is no copy, near anchors that two ids share."""
+    half = window // 2
 
     def anchors(batch, texts):
         row, at, hashes = _anchors(texts, window)
-        return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row)), pa.array(at.astype(np.int32)), as_long(hashes)], ["k", "at", "h"])
+        own = [batch.column(c).take(pa.array(row)) for c in ("k", "d")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), as_long(hashes)], ["k", "d", "at", "h"])
 
-    found = join_small(map_texts(docs, "t", anchors, f"k {kind}, at int, h long"), copies, "k", "left_anti")
-    found = cut(found)
-    # Written tables have both sides of the joins below start at an exchange, where a hot key's partition can be split.
+    found = map_texts(rows, "t", anchors, f"k {kind}, d long, at int, h long")
+    found = cut(found.join(copies.select("k", "d"), ["k", "d"], "left_anti"))
     shared = cut(found.groupBy("h").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h"))
-    places = cut(found.join(shared, "h").groupBy("k").agg(F.sort_array(F.collect_list("at")).alias("at")))
+    places = cut(found.join(shared, "h").groupBy("k", "d").agg(F.collect_set("at").alias("at")))
     discard(found, shared)
 
     def windows(batch, texts):
         hashes = texts.word_hashes()
         _, _, first = texts.words()
-        half = window // 2
-        rows, starts = [], []
+        begin, own = [], []
         for i, at in enumerate(batch.column("at")):
             a = np.asarray(at.values)
             n = int(first[i + 1] - first[i])
@@ -103,66 +108,101 @@ def duplicate_spans(docs: DataFrame, window: int = 50, key: str = "doc_id", text
             cover = np.zeros(n + 2, np.int32)
             np.add.at(cover, lo[hi >= lo], 1)
             np.add.at(cover, hi[hi >= lo] + 1, -1)
-            s = np.flatnonzero(np.cumsum(cover) > 0)
-            rows.append(np.full(len(s), i))
-            starts.append(s)
-        row, s = np.concatenate(rows), np.concatenate(starts)
-        begin = first[row] + s
-        a, b = (window_hashes(mix(hashes, v), begin, begin + window) for v in (1, 2))
-        return pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row)), pa.array(s.astype(np.int32)), as_long(a), as_long(b)], ["k", "s", "a", "b"])
-
-    near = join_small(docs, places, "k", "inner")
-    index = cut(map_texts(near, "t", windows, f"k {kind}, s int, a long, b long"))
-    first_in = cut(index.groupBy("a", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("a", "b", "lo"))
-    later = index.join(first_in, ["a", "b"]).where("k > lo").groupBy("k").agg(F.collect_set("s").alias("s"))
-
-    def factors(batches):
-        for batch in batches:
-            out = []
-            for s in batch.column("s"):
-                s = np.sort(np.asarray(s.values))
-                ends = np.concatenate([s[:-1][np.diff(s) > window], s[-1:]]) + window  # factors that overlap or touch are one span
-                begins = np.concatenate([s[:1], s[1:][np.diff(s) > window]])
-                out.append(np.column_stack([begins, ends]).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.binary())], ["k", "spans"])
+            begin.append(np.flatnonzero(np.cumsum(cover) > 0))
+            own.append(np.full(len(begin[-1]), i))
+        s, row = np.concatenate(begin), np.concatenate(own)
+        a, b = (window_hashes(mix(hashes, v), first[row] + s, first[row] + s + window) for v in (1, 2))
+        own = [batch.column(c).take(pa.array(row)) for c in ("k", "d")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(s.astype(np.int32)), as_long(a), as_long(b)], ["k", "d", "s", "a", "b"])
+
+    index = cut(map_texts(rows.join(places, ["k", "d"]), "t", windows, f"k {kind}, d long, s int, a long, b long"))
+    discard(places)
+    return index
 
-    everything = np.array([0, -1], np.int32).tobytes()
-    spans = later.mapInArrow(factors, f"k {kind}, spans binary").union(copies.select("k", F.lit(bytearray(everything)).alias("spans")))
-    spans = cut(spans)
-    discard(places, index, first_in, copies)
-    return spans, [spans]
+
+def parse(row: np.ndarray, start: np.ndarray, source: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors from looked-up blocks: the place of each factor's first block in the arrays, and its end.
+
+    Blocks are ordered by row and start: ``start`` in its row and its place (source, at) in the reference, sources as
+    numbers. A block that stands a word further than the one before, in the text and in the same source, extends the
+    factor by that word; any other block begins a factor, inside the one before if it starts there.
+    """
+    goes_on = (row[1:] == row[:-1]) & (start[1:] == start[:-1] + 1) & (source[1:] == source[:-1]) & (at[1:] == at[:-1] + 1)
+    begins = np.flatnonzero(np.concatenate([[True], ~goes_on])[: len(row)])
+    last = np.concatenate([begins[1:], [len(row)]])[: len(begins)] - 1
+    return begins, start[last] + window
+
+
+def factors(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, d, factors) of rows with duplicate words; factors is an ascending array of (first, end, source, at).
+
+    Words first to end - 1 of the row equal the source's words from ``at`` on. d is the hash of the row's text. Null ids
+    are neither reference nor parsed; rows of equal id are no reference to each other; a null text is empty. The result
+    is a table made by ``cut``.
+    """
+    rows = _rows(docs, key, text).where("k is not null")
+    kind = rows.schema["k"].dataType.simpleString()
+    copies = _copies(rows, kind, window)
+    index = _index(rows, copies, kind, window)
+    first = index.groupBy("a", "b").agg(F.min(F.struct("k", "d", "s")).alias("m"), F.max("k").alias("hi")).where("m.k < hi")
+    first = cut(first.select("a", "b", F.col("m.k").alias("source"), F.col("m.d").alias("source_d"), F.col("m.s").alias("at")))
+    met = index.join(first, ["a", "b"]).where("k > source").groupBy("k", "d")
+    met = met.agg(F.collect_list(F.struct("s", "source", "source_d", "at")).alias("met"))  # linear in the row's own words
+
+    def work(batches):
+        for batch in batches:
+            met = batch.column("met")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(met.offsets)))
+            s, source, source_d, at = met.flatten().flatten()
+            number = source.dictionary_encode().indices.to_numpy().astype(np.int64)
+            start, d, place = (x.to_numpy().astype(np.int64) for x in (s, source_d, at))
+            order = np.lexsort((start, row))
+            once = np.ones(len(order), bool)  # a repeated row looks its blocks up twice
+            once[1:] = (row[order[1:]] != row[order[:-1]]) | (start[order[1:]] != start[order[:-1]])
+            order = order[once]
+            _, both = np.unique(np.stack([number, d]), axis=1, return_inverse=True)
+            begins, ends = parse(row[order], start[order], both.ravel()[order], place[order], window)
+            pick = order[begins]
+            fields = [pa.array(start[pick].astype(np.int32)), pa.array(ends.astype(np.int32)), source.take(pa.array(pick)), pa.array(place[pick].astype(np.int32))]
+            struct = pa.StructArray.from_arrays(fields, ["first", "end", "source", "at"])
+            offsets = np.searchsorted(row[pick], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("d"), pa.ListArray.from_arrays(pa.array(offsets), struct)], ["k", "d", "factors"])
+
+    parsed = met.mapInArrow(work, f"k {kind}, d long, factors array<struct<first:int,end:int,source:{kind},at:int>>")
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.col("n").alias("end"), "source", F.lit(0).alias("at")))
+    out = cut(parsed.union(copies.select("k", "d", whole.alias("factors"))))
+    discard(copies, index, first)
+    return out
 
 
 def deduplicate(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept, spans) for every row; ``kept`` is the remaining words joined by one space.
+    """(key, n_words, n_removed, kept, factors) for every row; ``kept`` is the remaining words joined by one space.
 
-    spans holds (first, end) word positions of the removed factors. Every word in a run of ``window`` words that also
-    occurs in a document with a smaller id is removed; shorter documents, null texts (no words) and rows with a null id
-    lose nothing. Rows with equal ids get the factors found in any of them. Empty tables give no rows.
+    factors are the removed stretches with their sources, as ``factors`` gives them. Every word in a run of ``window``
+    words that also occurs in a document with a smaller id is removed; shorter documents, null texts (no words) and rows
+    with a null id lose nothing. A row never loses words for another row's text, whatever ids they share. Empty tables
+    give no rows. A text is held in memory whole, with a few numbers for each of its words.
     """
-    spans, _ = duplicate_spans(docs, window, key, text)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    joined = join_small(rows, spans, "k", "left")
+    rows = _rows(docs, key, text)
+    kind = rows.schema["k"].dataType.simpleString()
+    joined = rows.join(factors(docs, window, key, text), ["k", "d"], "left")
 
     def work(batch, texts):
         data = texts.data.tobytes()
-        counts, kept, removed, where = [], [], [], []
-        for i, packed in enumerate(batch.column("spans")):
+        counts, kept, removed = [], [], []
+        for i, found in enumerate(batch.column("factors")):
             words = data[texts.offsets[i] : texts.offsets[i + 1]].split()  # at the six ASCII separators
-            n = len(words)
-            pairs = np.frombuffer(packed.as_py() or b"", np.int32).reshape(-1, 2).tolist()
-            if pairs and pairs[0][1] < 0:
-                pairs = [[0, n]]
-            pairs = [(a, min(b, n)) for a, b in pairs if a < n]
-            for a, b in reversed(pairs):
-                del words[a:b]
+            n, last = len(words), len(words)
+            if found.is_valid:
+                first, end, *_ = found.values.flatten()
+                for a, b in zip(reversed(first.to_pylist()), reversed(end.to_pylist()), strict=True):  # factors that overlap are cut from the right
+                    del words[a : min(b, last)]
+                    last = min(a, last)
             counts.append(n)
             kept.append(b" ".join(words))
             removed.append(n - len(words))
-            where.append([{"first": a, "end": b} for a, b in pairs])
-        out = [batch.column("k"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(where, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))]
-        return pa.RecordBatch.from_arrays(out, ["k", "n_words", "n_removed", "kept", "spans"])
-
-    schema = f"k {rows.schema['k'].dataType.simpleString()}, n_words long, n_removed long, kept string, spans array<struct<first:int,end:int>>"
-    return map_texts(joined, "t", work, schema).toDF(key, "n_words", "n_removed", "kept", "spans")
+        out = [batch.column("k"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column("factors")]
+        return pa.RecordBatch.from_arrays(out, ["k", "n_words", "n_removed", "kept", "factors"])
 
+    schema = f"k {kind}, n_words long, n_removed long, kept string, factors array<struct<first:int,end:int,source:{kind},at:int>>"
+    return map_texts(joined, "t", work, schema).toDF(key, "n_words", "n_removed", "kept", "factors")

@@ -167,16 +167,53 @@ def test_substrings(spark, odd_rows, window):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=repr) == brute_windows(rows, window)
 
 
-def test_substrings_by_shuffles(spark, odd_rows, monkeypatch):
+def test_substrings_by_shuffles(spark, odd_rows):
     """The same without any broadcast."""
-    import refrain.runtime
-
-    monkeypatch.setattr(refrain.runtime, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(refrain.runtime.join_small, "__defaults__", (0,))
-    got = relative.deduplicate(documents(spark, odd_rows), 50).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = relative.deduplicate(documents(spark, odd_rows), 50).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=repr) == brute_windows(odd_rows, 50)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(11)
+    p, q, r = (prose(rng, 60) for _ in range(3))
+    rows = [(1, p, "en", "s"), (2, p + " end", "en", "s"), (2, q, "en", "s"), (2, p, "en", "s"), (2, "new " + q, "en", "s"), (3, q + " " + r, "en", "s"), (3, q + " " + r, "en", "s")]
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in relative.deduplicate(documents(spark, rows)).collect()]
+    want = [(1, 60, 0, p), (2, 61, 60, "end"), (2, 60, 0, q), (2, 60, 60, ""), (2, 61, 0, "new " + q), *[(3, 120, 60, r)] * 2]
+    assert sorted(got) == sorted(want)
+
+
+def test_factors_name_their_source(spark, odd_rows):
+    """Every factor equals its source word by word, and together they cover the words removed."""
+    rng = random.Random(8)
+    passage = prose(rng, 90).split()
+    rows = list(odd_rows) + [(500 + i, " ".join([prose(rng, rng.randint(0, 40)), *passage[rng.randint(0, 9) : rng.randint(70, 90)], prose(rng, 20)]), "en", "s") for i in range(25)]
+    rows += [(600, "x y " * 120, "en", "s"), (601, "x y " * 70, "en", "s"), (602, " ".join(passage[:60]) + " x y" * 60, "en", "s")]
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, *_ in rows if i is not None}
+    seen = 0
+    for r in relative.deduplicate(documents(spark, rows)).collect():
+        gone, own = set(), words.get(r["doc_id"])
+        for first, end, source, at in r["factors"] or ():
+            ref = words[source]
+            assert source < r["doc_id"] and end - first >= 50 and own[first:end] == ref[at : at + end - first]
+            gone.update(range(first, end))
+            seen += 1
+        assert len(gone) == r["n_removed"]
+    assert seen > 25
+
+
+def test_parse_follows_one_source():
+    row, start = np.array([0, 0, 0, 0, 1, 1]), np.array([3, 4, 5, 9, 10, 11])
+    source, at = np.array([7, 7, 8, 8, 8, 8]), np.array([0, 1, 40, 44, 45, 46])
+    begins, ends = relative.parse(row, start, source, at, 50)
+    assert (begins.tolist(), ends.tolist()) == ([0, 2, 3, 4], [54, 55, 59, 61])
+    assert [x.tolist() for x in relative.parse(*[np.zeros(0, np.int64)] * 4, 50)] == [[], []]
+
+
 def test_substrings_empty(none):
     assert relative.deduplicate(none).count() == 0
 
