@@ -57,9 +57,10 @@ def compare_in_blocks(items: DataFrame, groups: DataFrame, similar: Callable[[li
         if i == j:
             np.fill_diagonal(linked, False)
         links = np.zeros(len(item), np.int64)
-        links[left] += linked @ weight[right]
-        if i != j:
-            links[right] += linked.T @ weight[left]
+        for lo in range(0, len(left), 256):  # a matrix of booleans is widened for the product, so some rows at a time
+            links[left[lo : lo + 256]] += linked[lo : lo + 256] @ weight[right]
+            if i != j:
+                links[right] += weight[left[lo : lo + 256]] @ linked[lo : lo + 256]
         a, b = np.nonzero(linked)
         root = forest(len(item), left[a], right[b])
         keep = np.flatnonzero(links)

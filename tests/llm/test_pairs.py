@@ -57,31 +57,101 @@ def test_vectors(spark):
     rows += [(200 + i, [float(np.float32(x)) for x in centre[0] + 0.02 * rng.normal(size=16)]) for i in range(80)]  # more than a window
     rows += [(300, rows[0][1]), (301, None), (302, []), (303, [0.0] * 16), (304, [float("nan")] + [1.0] * 15), (305, [None] + [1.0] * 15), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [float("inf")] * 16), (None, rows[0][1])]
     frame = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<float>, k string, payload string").repartition(4)
-    settings = vectors.Settings(window=8, block=32)
+    settings = vectors.Settings(widest=32, block=32)
     got = vectors.near_duplicates(frame, settings=settings).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] is not None} == brute_vectors(rows)
     assert [(r["n_links"], r["kept"]) for r in got if r["vec_id"] is None] == [(0, True)]
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("window", [32, 1])
-def test_vectors_in_a_clump(spark, window):
-    """Lone pairs among thousands of vectors round one centre: signs hardly part such a clump, so sorted windows missed many."""
-    rng = np.random.default_rng(7)
-    centre = np.eye(64)[0]
-    side = rng.normal(size=(4000, 64))
+def beside(rng, x, cosine):
+    """A unit vector at the given cosine to each row of x."""
+    step = rng.normal(size=x.shape)
+    step -= (step * x).sum(1, keepdims=True) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+
+
+def around(rng, n, cosine):
+    """n unit vectors of 64 numbers whose cosine to each other is about ``cosine``."""
+    side = rng.normal(size=(n, 64))
     side[:, 0] = 0
-    x = np.sqrt(0.8) * centre + np.sqrt(0.2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    step = rng.normal(size=(300, 64))
-    step -= (step * x[:300]).sum(1, keepdims=True) * x[:300]
-    pairs = 0.952 * x[:300] + np.sqrt(1 - 0.952**2) * step / np.linalg.norm(step, axis=1, keepdims=True)
-    x = np.concatenate([x, pairs])
-    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
-    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(frame, settings=vectors.Settings(window=window)).collect()}
-    want = (x @ x.T >= 0.95).sum(1) - 1
-    assert want.sum() >= 600
+    return np.sqrt(cosine) * np.eye(64)[0] + np.sqrt(1 - cosine) * side / np.linalg.norm(side, axis=1, keepdims=True)
+
+
+def in_parts(x, parts=4):
+    """Vectors as an Arrow table of (vec_id, embedding)."""
+    import pyarrow as pa
+
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+    return pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": lists})
+
+
+def true_links(x):
+    out = np.zeros(len(x), np.int64)
+    for lo in range(0, len(x), 1000):
+        out[lo : lo + 1000] = (x[lo : lo + 1000] @ x.T >= 0.95).sum(1) - 1
+    return out
+
+
+def test_vectors_that_lie_unevenly(spark):
+    """20,000 vectors: a third in one clump, others in loose clusters and alone; lone pairs just above the cosine in all of them."""
+    rng = np.random.default_rng(7)
+    clump = around(rng, 7000, 0.8)
+    centres = rng.normal(size=(40, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    loose = beside(rng, centres[rng.integers(0, 40, 7000)], 0.8)
+    alone = rng.normal(size=(6000, 64))
+    alone /= np.linalg.norm(alone, axis=1, keepdims=True)
+    pairs = beside(rng, np.concatenate([clump[:500], loose[:500], alone[:500]]), 0.952)
+    x = np.concatenate([clump, loose, alone, pairs])
+    frame = spark.createDataFrame(in_parts(x)).repartition(4)
+    want = true_links(x)
+    assert want.sum() >= 3000
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(frame).collect()}
     assert all(got[i] <= n for i, n in enumerate(want))
-    assert sum(got.values()) >= 0.99 * want.sum()
+    assert sum(got.values()) >= 0.995 * want.sum()
+
+
+def test_vectors_in_groups_of_more_than_a_block(spark):
+    """Near copies that are one component, and a clump that is none though its candidates touch."""
+    rng = np.random.default_rng(8)
+    copies = beside(rng, np.repeat(rng.normal(size=(1, 64)) / 8, 900, 0) / np.linalg.norm(np.ones(1)), 0.99)
+    copies /= np.linalg.norm(copies, axis=1, keepdims=True)
+    x = np.concatenate([copies, around(rng, 900, 0.88)])
+    frame = spark.createDataFrame(in_parts(x)).repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(frame, settings=vectors.Settings(block=128, widest=32)).collect()}
+    want = true_links(x)
+    assert all(got[i][0] <= n for i, n in enumerate(want)) and sum(n for n, _ in got.values()) >= 0.99 * want.sum()
+    assert {c for i, (_, c) in got.items() if i < 900} == {0}
+
+
+def test_least_forest():
+    rng = np.random.default_rng(3)
+    a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    pick = vectors.least_forest(50, a, b, w)
+    left, total = reach(range(50), []), 0
+    for k in sorted(range(300), key=lambda k: w[k]):  # edge by edge, the least first
+        if left[a[k]] != left[b[k]]:
+            low, high = sorted((left[a[k]], left[b[k]]))
+            left = {n: low if c == high else c for n, c in left.items()}
+            total += w[k]
+    assert w[pick].sum() == total and reach(range(50), zip(a[pick], b[pick], strict=True)) == left
+    assert len(vectors.least_forest(5, a[:0], b[:0], w[:0])) == 0
+
+
+def test_windows_over_partitions(spark):
+    """However the ordered rows are dealt, the same neighbours meet; partitions of a row or two included."""
+    rng = np.random.default_rng(5)
+    x = beside(rng, np.repeat(rng.normal(size=(30, 64)) / 8, 4, 0), 0.97)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "c long, payload binary")
+    s, found = vectors.Settings(), []
+    for parts in (1, 7, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        edges = vectors._candidates(classes, 6, 3, np.float64, s).collect()
+        found.append(reach(range(len(x)), [(r["a"], r["b"]) for r in edges]))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert found[0] == found[1] == found[2]
 
 
 def shingles(text, k=5):
