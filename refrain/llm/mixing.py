@@ -34,43 +34,48 @@ def _cumulative(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS - 1)), F.struct(zero.alias("p"), zero.alias("c"), F.array(zero).alias("all")), step, lambda acc: acc["all"])
 
 
-def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, total: float | None) -> DataFrame:
-    """One row for each source with rows and a positive weight: its mean rate, the number of parts and their distribution.
+def rates(docs: DataFrame, source: str, weights: dict[str | None, float] | None, total: float | None) -> DataFrame:
+    """(source, rate, parts, cumulative) for each source with rows and a positive weight: its mean rate and how it is drawn.
 
-    Without weights every source counts alike. Weights are scaled over the sources present; ``total`` defaults to the
-    number of rows that have one of these sources.
+    Without weights every source counts alike, null among them. Weights are scaled over the sources present; ``total``
+    defaults to the number of rows that have one of these sources.
     """
-    counts = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("rows")).where("_source is not null")
+    counts = docs.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("rows"))
     if weights is None:
         counts = counts.withColumn("weight", F.lit(1.0))
     else:
-        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v and v > 0], "_source string, weight double")
-        counts = counts.join(table, "_source")
+        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v and v > 0], "name string, weight double")
+        counts = counts.join(table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
     sums = counts.agg(F.sum("weight").alias("all_weight"), F.sum("rows").alias("all_rows"))
     rate = F.col("weight") / F.col("all_weight") * (F.lit(float(total)) if total is not None else F.col("all_rows")) / F.col("rows")
-    out = counts.crossJoin(F.broadcast(sums)).select("_source", rate.alias("rate"))  # sums is one row
+    out = counts.crossJoin(F.broadcast(sums)).select("source", rate.alias("rate"))  # sums is one row
     out = out.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     return out.withColumn("cumulative", _cumulative(F.col("rate") / F.col("parts")))
 
 
-def counted(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` whose source has a rate, with _rate and the drawn _count (which may be 0)."""
-    table = cut(rates(docs, source, weights, total))
-    rows = join_small(docs.withColumn("_source", F.col(source)), table, "_source", "inner")
-    number = lambda part: uniform(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), part.cast("string"))
+def counted(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, total: float | None = None, seed: str = "mix") -> DataFrame:
+    """(row, id, rate, count) for every row of ``docs`` whose source has a rate: the row whole, its id as text, and the drawn count (which may be 0)."""
+    table = cut(rates(docs, source, weights, total).withColumnRenamed("source", "name"))
+    # The row travels as one struct, so that none of its columns can clash with those of this plan.
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("id"))
+    rows = join_small(rows, table, F.col("source").eqNullSafe(F.col("name")), "inner")
+    number = lambda part: uniform(F.lit(seed), F.col("id"), part.cast("string"))
     draw = lambda u: F.size(F.filter("cumulative", lambda c: c < u))
     numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), number)  # hashed once, not for each term
     drawn = F.aggregate(F.transform(numbers, draw), F.lit(0), lambda a, b: a + b)
-    return rows.withColumn("_count", drawn).withColumnRenamed("rate", "_rate").drop("_source", "parts", "cumulative")
+    return rows.select("row", "id", "rate", drawn.alias("count"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, total: float | None = None, seed: str = "mix") -> DataFrame:
-    """``docs`` replicated to the target weights in a globally shuffled order, with copy (from 1) added as ``_copy``.
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str | None, float] | None = None, total: float | None = None, seed: str = "mix", to: str = "_copy") -> DataFrame:
+    """``docs`` replicated to the target weights in a globally shuffled order, with the copy's number (from 1) added as ``to``.
 
-    Rows with a null source, or one of no weight, go. Rows with a null id draw like an empty id; repeated rows draw the
-    same count each. An empty table stays empty. Input columns keep their names; ``_rate``, ``_count``, ``_copy`` and
-    ``_source`` must not be among them. The order is by MD5 of seed, id and copy, then id and copy.
+    Without weights rows with a null source are a source of their own; with weights they have that of None, and rows of
+    no weight go. Rows with a null id draw like an empty id; repeated rows draw the same count each. An empty table stays
+    empty. All input columns keep their names and values, whatever they are called; one called ``to`` is refused. The
+    order is by MD5 of seed, id and copy, then id and copy.
     """
-    rows = counted(docs, key, source, weights, total, seed).where("_count > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    place = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_copy").cast("string")))
-    return rows.drop("_rate", "_count").orderBy(place, key, "_copy")
+    if to in docs.columns:
+        raise ValueError(f"the documents have a column {to}; name another with to=")
+    rows = counted(docs, key, source, weights, total, seed).where("count > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
+    place = F.md5(F.concat_ws(":", F.lit(seed + "-order"), F.col("id"), F.col("copy").cast("string")))
+    return rows.orderBy(place, "id", "copy").select("row.*", F.col("copy").alias(to))

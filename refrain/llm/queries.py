@@ -44,15 +44,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = f"""
-WITH RECURSIVE n AS (SELECT source, count(*) AS rows FROM documents WHERE source IS NOT NULL GROUP BY source),
+WITH RECURSIVE n AS (SELECT source, count(*) AS rows FROM documents GROUP BY source),
 r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n)::DOUBLE * (SELECT sum(rows) FROM n)::DOUBLE / rows AS rate FROM n),
 q AS (SELECT source, greatest(1, ceil(rate / {mixing.PART}))::INT AS parts, rate / greatest(1, ceil(rate / {mixing.PART})) AS mean FROM r),
 terms AS (SELECT source, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM q
   UNION ALL SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM terms WHERE k + 1 < {mixing.TERMS}),
 cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM terms GROUP BY source),
-u AS (SELECT doc_id, documents.source, unnest(range(1, parts + 1)) AS part FROM documents JOIN q ON documents.source = q.source),
-drawn AS (SELECT doc_id, u.source, sum(len(list_filter(cs, lambda c: c < (('0x' || substr(md5('mix:' || doc_id || ':' || part), 1, 13))::BIGINT::DOUBLE + 0.5) / {mixing.DRAWS}))) AS n
-  FROM u JOIN cdf ON u.source = cdf.source GROUP BY doc_id, u.source)
+u AS (SELECT doc_id, documents.source, unnest(range(1, parts + 1)) AS part FROM documents JOIN q ON documents.source IS NOT DISTINCT FROM q.source),
+drawn AS (SELECT doc_id, u.source, sum(len(list_filter(cs, lambda c: c < (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || part), 1, 13))::BIGINT::DOUBLE + 0.5) / {mixing.DRAWS}))) AS n
+  FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id, u.source)
 SELECT doc_id, source, unnest(range(1, n::BIGINT + 1)) AS copy FROM drawn WHERE n > 0
 """
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Columns whose names operators use themselves.
-CLASHING = ("k", "t", "g", "c", "item", "score", "ids", "n", "o", "y", "bucket")
+CLASHING = ("k", "t", "g", "c", "item", "score", "ids", "n", "o", "y", "bucket", "rate", "parts", "cumulative", "count", "copy", "d", "row", "name", "h", "fold")
 
 
 def prose(rng: random.Random, words: int, stems=("an", "the", "ing", "re", "on", "er", "es", "ti")) -> str:

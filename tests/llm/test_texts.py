@@ -35,7 +35,7 @@ def test_words(values):
 
 def test_counts_are_poisson(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("source"))
-    rows = mixing.counted(docs, weights={"small": 3.0, "large": 1.0, "absent": 2.0}).groupBy("source").agg(F.avg("_count").alias("m"), F.variance("_count").alias("v"), F.first("_rate").alias("r"), F.count("*").alias("n"))
+    rows = mixing.counted(docs, weights={"small": 3.0, "large": 1.0, "absent": 2.0}).groupBy("row.source").agg(F.avg("count").alias("m"), F.variance("count").alias("v"), F.first("rate").alias("r"), F.count("*").alias("n"))
     got = {r["source"]: r for r in rows.collect()}
     assert math.isclose(got["small"]["r"], 0.75 * 20_000 / 4000) and math.isclose(got["large"]["r"], 0.25 * 20_000 / 16_000)
     for r in got.values():
@@ -45,7 +45,7 @@ def test_counts_are_poisson(spark):
 
 def test_large_rates(spark):
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
-    m = mixing.counted(docs, total=400 * 1000.0).agg(F.avg("_count"), F.variance("_count")).first()
+    m = mixing.counted(docs, total=400 * 1000.0).agg(F.avg("count"), F.variance("count")).first()
     assert abs(m[0] - 1000) < 8 and 700 < m[1] < 1350
 
 
@@ -54,11 +54,26 @@ def test_mix(odd, none):
     assert set(odd.columns) | {"_copy"} == set(out.columns)
     got = out.collect()
     assert got == mixing.mix(odd.repartition(2)).collect() or sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.repartition(2)).collect()))
-    assert all(r["source"] is not None for r in got)
+    some = {r["source"] for r in odd.collect()}
+    assert None in some and {r["source"] for r in mixing.mix(odd, total=2000.0).collect()} == some  # rows without a source are a source
+    assert {r["source"] for r in mixing.mix(odd, weights={None: 1.0}, total=50.0).collect()} == {None}
     assert mixing.mix(none).count() == 0
     assert mixing.mix(odd, weights={"src0": 1.0, "src1": 0.0}).where("source <> 'src0'").count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ("rate", "parts", "cumulative", "count", "rows", "weight", "row", "id", "name", "copy", "_source", "_rate", "_count", "all_rows", "all_weight")
+    docs = spark.createDataFrame([(i, f"s{i % 2}", *(f"{c}{i}" for c in names)) for i in range(40)], "doc_id long, source string, " + ", ".join(f"`{c}` string" for c in names))
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", *names, "_copy"]
+    got = out.collect()
+    assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    plain = mixing.mix(docs.select("doc_id", "source")).collect()
+    assert [(r["doc_id"], r["_copy"]) for r in got] == [(r["doc_id"], r["_copy"]) for r in plain]
+    with pytest.raises(ValueError, match="copy"):
+        mixing.mix(docs, to="copy")
+
+
 @pytest.fixture(scope="module")
 def model():
     try:
