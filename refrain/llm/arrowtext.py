@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of text handled at a time within an Arrow batch, whose own bytes Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch).
-SLICE_BYTES = 1 << 18
+#: Bytes of text and rows handled at a time within an Arrow batch, whose own bytes Spark bounds (spark.sql.execution.arrow.maxBytesPerBatch).
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 1000
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _U = np.uint64
@@ -111,7 +111,7 @@ def texts_of(column: pa.Array) -> Texts:
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    """The rows of a batch in order, some at a time: together at most ``size`` bytes of text, or one row."""
+    """The rows of a batch in order, SLICE_ROWS or fewer at a time: together at most ``size`` bytes of text, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
     if not len(column):
         return
@@ -120,7 +120,7 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
     whole = texts_of(column)
     at = 0
     while at < len(whole):
-        to = max(at + 1, int(np.searchsorted(whole.offsets, whole.offsets[at] + size, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(whole.offsets, whole.offsets[at] + size, "right")) - 1), at + SLICE_ROWS)
         lo, hi = whole.offsets[at], whole.offsets[to]
         yield batch.slice(at, to - at), Texts(whole.data[lo:hi], whole.offsets[at : to + 1] - lo)
         at = to

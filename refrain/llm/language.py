@@ -27,6 +27,7 @@ _FOLD[65:91] += 32
 class Settings:
     dims: int = 1 << 13  # hashed n-gram features
     sample: int = 400  # training documents of each language, at most about
+    most: int = 6000  # training documents of all languages, at most about
     rounds: int = 200
     rate: float = 0.5
     decay: float = 1e-5
@@ -102,23 +103,29 @@ class Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from rows with a language and a text: about ``settings.sample`` of each language, features made on executors.
 
-    Languages are counted over all rows. A language without any text is not learned. The driver holds
-    sample * languages * dims floats.
+    Languages are counted over all rows; with many of them each gets an equal part of ``settings.most``. Repeated rows
+    are one, and rows without an id are told apart by their text. The driver holds at most about ``settings.most`` rows
+    of ``settings.dims`` floats.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key")).where("lang is not null and text is not null and text <> ''")
-    sample = by_class(rows, "lang", "key", settings.sample, settings.seed)
-    dims = settings.dims
+    s, known = settings, rows.select("lang").distinct().count()
+    sample = by_class(rows, "lang", ["key", "text"], max(1, min(s.sample, s.most // max(1, known))), s.seed)
+    dims = s.dims
 
     def featurise(batch, texts):
         x = features(texts, dims)
-        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "key", "x"])
+        slots = [np.flatnonzero(v) for v in x]
+        packed = [pa.array([u.astype(np.int32).tobytes() for u in slots], pa.binary()), pa.array([v[u].tobytes() for u, v in zip(slots, x, strict=True)], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("key"), *packed], ["lang", "key", "slots", "values"])
 
-    got = sorted((r["lang"], r["key"] or "", bytes(r["x"])) for r in map_texts(sample, "text", featurise, "lang string, key string, x binary").collect())
+    got = sorted((r["lang"], r["key"] or "", bytes(r["slots"]), bytes(r["values"])) for r in map_texts(sample, "text", featurise, "lang string, key string, slots binary, values binary").collect())
     languages = sorted({r[0] for r in got})
     code = codewords(len(languages), settings.seed).astype(np.float32)
     if len(languages) < 2:
         return Model(languages, code, np.zeros((dims, 0), np.float32), np.zeros(0, np.float32), np.zeros(0), 1.0, settings)
-    x = np.stack([np.frombuffer(r[2], np.float32) for r in got])
+    x = np.zeros((len(got), dims), np.float32)
+    for row, (*_, slots, values) in zip(x, got, strict=True):
+        row[np.frombuffer(slots, np.int32)] = np.frombuffer(values, np.float32)
     which = np.searchsorted(languages, [r[0] for r in got])
     aside = np.arange(len(x)) % 5 == 4 if len(x) >= 10 * len(languages) else np.zeros(len(x), bool)
     y, use = code[which], ~aside

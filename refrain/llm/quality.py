@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.arrowtext import Texts, map_texts, mix
-from refrain.llm.sampling import by_class
+from refrain.llm.sampling import by_class, labelled_texts
+from refrain.runtime import discard
 
 #: Byte classes: 0 separator or control, 1 lower-case, 2 upper-case, 3 digit, 4 sentence mark, 5 other ASCII mark, 6 beyond ASCII.
 _CLASS = np.full(256, 5, np.uint8)
@@ -115,11 +116,10 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Fit by Adagrad on about ``settings.sample`` labelled documents of each label, encoded on executors.
 
-    Labels other than 0 and 1 and null ids are left out. Without both labels the score is the share of 1 (0.5 if there are no labels).
+    Labels other than 0 and 1 and null ids are left out; a repeated id is one document. Without both labels the score is the share of 1 (0.5 if there are no labels).
     """
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
-    sample = by_class(marked, "y", "k", settings.sample, settings.seed)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")  # the sample is bounded by its parameter
+    rows = labelled_texts(docs, by_class(marked, "y", ["k"], settings.sample, settings.seed), text, key)
 
     def work(batch, texts):
         r, slots, values = encode(texts, settings)
@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         return pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("y"), *packed], ["k", "y", "slots", "values"])
 
     got = sorted((r["k"], r["y"], bytes(r["slots"]), bytes(r["values"])) for r in map_texts(rows, "text", work, "k string, y int, slots binary, values binary").collect())
+    discard(rows)
     y = np.array([r[1] for r in got], float)
     model = Model(0.0, np.zeros(settings.dims, np.float32), np.zeros((settings.dims, settings.factors), np.float32), settings)
     if len(set(y)) < 2:

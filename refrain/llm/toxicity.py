@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refrain.llm.arrowtext import _BYTES, Texts, as_long, map_texts, window_hashes
-from refrain.llm.sampling import by_class
+from refrain.llm.sampling import by_class, labelled_texts
+from refrain.runtime import discard
 
 #: Second-person words of English, German, French and Spanish.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros".split()
@@ -33,7 +34,7 @@ _PREFIXES = (4, 5, 6, 7)
 class Settings:
     sample: int = 4000  # training documents of each label, at most about
     lexicon: int = 4096  # learned entries, at most
-    least: int = 3  # toxic training documents that must hold an entry
+    least: tuple[int, ...] = (2, 3, 5, 8)  # toxic training documents that must hold an entry; the calibration fold says which
     odds: float = 2.5  # least log odds ratio of an entry
     near: int = 4  # words between a hit and a second-person word
     trees: int = 50
@@ -188,21 +189,36 @@ class Model:
         return np.clip(np.interp(self.raw(features(texts, self.lexicon, self.settings.near)), *self.points), 0, 1)
 
 
+def _boost(x: np.ndarray, y: np.ndarray, lexicon: Lexicon, s: Settings) -> Model:
+    """Trees for the rows x with labels y, not calibrated."""
+    model = Model(lexicon, float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))), [], (np.array([0.0]), np.array([0.0])), s)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, s.bins)[1:-1])) for f in range(x.shape[1])]
+    binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
+    z = np.full(len(y), model.base)
+    for _ in range(s.trees):
+        p = 1 / (1 + np.exp(-z))
+        *tree, step = _grow(x, edges, binned, p - y, p * (1 - p), s.depth, s.bins)
+        model.trees.append(tuple(tree))
+        z += s.rate * step
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", settings: Settings = Settings()) -> Model:
     """Learn from about ``settings.sample`` labelled documents of each label, in three hashed folds: lexicon, trees, calibration.
 
-    Word statistics are gathered on executors and only entries that pass the thresholds reach the driver. Labels other
-    than 0 and 1 and null ids are left out. Without both labels every score is the share of 1 (0 without labels).
+    The sample is written once. Word statistics are gathered on executors and only entries that pass the thresholds reach
+    the driver. Of the lexicons for each of ``settings.least`` the one whose trees lose least on the calibration fold is
+    kept. Labels other than 0 and 1 and null ids are left out; a repeated id is one document. Without both labels every
+    score is the share of 1 (0 without labels).
     """
     s = settings
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").distinct()
     counts = dict(marked.groupBy("y").count().collect())
+    nothing = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     if len(counts) < 2:
-        share = float(1 in counts)
-        return Model(Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.float32)), 0.0, [], (np.array([0.0]), np.array([share])), s)
+        return Model(nothing, 0.0, [], (np.array([0.0]), np.array([float(1 in counts)])), s)
     fold = F.pmod(F.xxhash64(F.lit(s.seed + 1), "k"), F.lit(3)).alias("fold")
-    sample = by_class(marked, "y", "k", s.sample, s.seed).select("k", "y", fold)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(sample), "k")  # the sample is bounded by its parameter
+    rows = labelled_texts(docs, by_class(marked, "y", ["k"], s.sample, s.seed).select("k", "y", fold), text, key)
 
     def entries(batch, texts):
         *_, first, hashes = _parts(texts, _PLAIN)
@@ -211,35 +227,38 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         y = batch.column("y").to_numpy()[pairs[0].astype(np.int64)]
         return pa.RecordBatch.from_arrays([as_long(pairs[1]), pa.array(y)], ["h", "y"])
 
-    toxic, clean = (rows.where((F.col("fold") == 0) & (F.col("y") == v)).count() for v in (1, 0))
+    found = dict(rows.where("fold = 0").groupBy("y").count().collect())
+    toxic, clean = found.get(1, 0), found.get(0, 0)
     seen = map_texts(rows.where("fold = 0"), "text", entries, "h long, y int").groupBy("h").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1))
-    words = seen.where(F.col("t") >= s.least).withColumn("odds", odds).where(F.col("odds") >= s.odds).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "h").limit(s.lexicon).collect()
-    lexicon = Lexicon(np.array([r["h"] for r in words], np.int64).view(np.uint64), np.array([r["odds"] for r in words], np.float32))
+    words = seen.where(F.col("t") >= min(s.least)).withColumn("odds", odds).where(F.col("odds") >= s.odds).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "h").limit(s.lexicon).collect()
+    lexicons = []
+    for least in s.least:
+        own = [r for r in words if r["t"] >= least]
+        lexicons.append(Lexicon(np.array([r["h"] for r in own], np.int64).view(np.uint64), np.array([r["odds"] for r in own], np.float32)))
 
     def dense(batch, texts):
-        x = features(texts, lexicon, s.near)
+        x = np.concatenate([features(texts, lexicon, s.near) for lexicon in lexicons], axis=1)
         return pa.RecordBatch.from_arrays([batch.column("k").cast(pa.string()), batch.column("y"), batch.column("fold").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "fold", "x"])
 
     got = sorted((r["k"], r["y"], r["fold"], tuple(r["x"])) for r in map_texts(rows.where("fold > 0"), "text", dense, "k string, y int, fold long, x array<double>").collect())
-    y, folds, x = np.array([r[1] for r in got], float), np.array([r[2] for r in got]), np.array([r[3] for r in got]).reshape(-1, N_FEATURES)
-    model = Model(lexicon, 0.0, [], (np.array([0.0]), np.array([0.0])), s)
+    discard(rows)
+    y, folds = np.array([r[1] for r in got], float), np.array([r[2] for r in got])
     if not len(y):
-        return model
+        return Model(nothing, 0.0, [], (np.array([0.0]), np.array([0.0])), s)
+    x = np.array([r[3] for r in got]).reshape(len(y), len(lexicons), N_FEATURES)
     weight = np.where(y == 1, *(counts[v] / max(1, min(counts[v], s.sample)) for v in (1, 0)))
     fit = folds == 1 if len({*y[folds == 1]}) == 2 and len({*y[folds == 2]}) == 2 else np.ones(len(y), bool)
-    xf, yf = x[fit], y[fit]
-    edges = [np.unique(np.quantile(xf[:, f], np.linspace(0, 1, s.bins)[1:-1])) for f in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, xf[:, f], "left") for f, e in enumerate(edges)], axis=1)
-    model.base = float(np.log((yf.sum() + 1) / (len(yf) - yf.sum() + 1)))
-    z = np.full(len(yf), model.base)
-    for _ in range(s.trees):
-        p = 1 / (1 + np.exp(-z))
-        *tree, step = _grow(xf, edges, binned, p - yf, p * (1 - p), s.depth, s.bins)
-        model.trees.append(tuple(tree))
-        z += s.rate * step
     use = ~fit if (~fit).any() else fit
-    model.points = isotonic(model.raw(x[use]), y[use], weight[use])
+    best = None
+    for i, lexicon in enumerate(lexicons):
+        model = _boost(x[fit, i], y[fit], lexicon, s)
+        z = model.raw(x[use, i])
+        loss = float((np.logaddexp(0, np.where(y[use] == 1, -z, z)) * weight[use]).sum())
+        if best is None or loss < best[0]:
+            best = loss, model, z
+    _, model, z = best
+    model.points = isotonic(z, y[use], weight[use])
     return model
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from refrain.llm import language, quality, toxicity
 from refrain.llm.arrowtext import texts_of
-from refrain.llm.sampling import by_class, held_out
+from refrain.llm.sampling import by_class, held_out, labelled_texts
 from tests.llm.conftest import documents, prose
 
 import pyarrow as pa
@@ -66,10 +66,21 @@ def test_held_out(spark):
 
 def test_sample_is_bounded(spark):
     rows = spark.range(20_000).withColumn("y", (F.col("id") % 10 == 0).cast("int")).withColumn("id", F.col("id").cast("string"))
-    got = dict(by_class(rows, "y", "id", 500, 1).groupBy("y").count().collect())
+    got = dict(by_class(rows, "y", ["id"], 500, 1).groupBy("y").count().collect())
     assert all(350 < n < 650 for n in got.values()) and len(got) == 2
 
 
+def test_sample_is_bounded_where_ids_repeat_or_are_null(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"), F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    got = dict(by_class(rows, "lang", ["doc_id", "text"], 300, 1).groupBy("lang").count().collect())
+    assert all(220 < n < 380 for n in got.values()) and len(got) == 2
+    assert by_class(rows.withColumn("text", F.lit("same")), "lang", ["doc_id", "text"], 30_000, 1).count() == 2
+    one = spark.range(5000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("words "), "id").alias("text"))
+    assert labelled_texts(one, spark.createDataFrame([(7, 1)], "k long, y int"), "text", "doc_id").count() == 1
+    model = language.train(rows)
+    assert model.languages == ["a", "b"]
+
+
 @pytest.fixture(scope="module")
 def marked(spark):
     rng = random.Random(2)
@@ -129,6 +140,89 @@ def test_toxicity(marked, odd, none):
     assert {r["score"] for r in toxicity.score(odd, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def plain_trees(model, x):
+    """Each row through each tree, one step at a time."""
+    out = []
+    for row in x:
+        z = model.base
+        for split, cuts, leaves in model.trees:
+            at = 0
+            while at < len(split):
+                at = 2 * at + (2 if row[split[at]] > cuts[at] else 1)
+            z += model.settings.rate * leaves[at - len(split)]
+        out.append(z)
+    return out
+
+
+def test_trees_against_brute_force():
+    """The first split is the best of all thresholds, boosting lowers the loss, and scoring equals a walk down each tree."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = ((x[:, 2] > 6) ^ (rng.random(300) < 0.1)).astype(float)
+    s = toxicity.Settings(trees=12)
+    model = toxicity._boost(x, y, toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.float32)), s)
+    assert np.allclose(model.raw(x), plain_trees(model, x))
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(300, p * (1 - p))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gain = {(f, c): part(x[:, f] <= c) + part(x[:, f] > c) for f in range(4) for c in range(11)}
+    (f, c), _ = max(gain.items(), key=lambda kv: kv[1])
+    split, cuts, _ = model.trees[0]
+    assert split[0] == f and part(x[:, f] <= cuts[0]) + part(x[:, f] > cuts[0]) >= 0.999 * gain[f, c]
+    loss = lambda z: np.logaddexp(0, np.where(y == 1, -z, z)).mean()
+    assert loss(model.raw(x)) < 0.6 * loss(np.full(300, model.base))
+
+
+def test_isotonic_against_brute_force():
+    """The fit is the least-squares one among all non-decreasing step functions."""
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(rng.integers(1, 7))
+        y, w = rng.integers(0, 2, n).astype(float), rng.integers(1, 4, n).astype(float)
+        at, fit = toxicity.isotonic(np.arange(n, dtype=float), y, w)
+        got = np.interp(np.arange(n), at, fit)
+        best = min(
+            sum((w[b] * (y[b] - np.average(y[b], weights=w[b])) ** 2).sum() for b in blocks)
+            for cuts in product((0, 1), repeat=n - 1)
+            for blocks in [np.split(np.arange(n), np.flatnonzero(cuts) + 1)]
+            if (np.diff([np.average(y[b], weights=w[b]) for b in blocks]) >= 0).all()
+        )
+        assert (np.diff(got) >= -1e-12).all() and abs((w * (y - got) ** 2).sum() - best) < 1e-9
+
+
+def test_decoding_against_brute_force(spoken):
+    """Language and probability from the definition: each codeword's weighted logistic loss, bit by bit."""
+    from math import exp, log1p
+
+    model = language.train(spoken)
+    x = language.features(texts("the thing", "eau que", "schein", "x"), model.settings.dims)
+    best, p, _ = model.predict(x)
+    for row, b, q in zip(x, best, p, strict=True):
+        losses = []
+        for word in model.code:
+            margins = [sum(float(row[i]) * float(model.weights[i, j]) for i in np.flatnonzero(row)) + float(model.bias[j]) for j in range(len(word))]
+            losses.append(sum(t * log1p(exp(-m * c)) for t, m, c in zip(model.trust, margins, word, strict=True)))
+        assert b == int(np.argmin(losses))
+        assert abs(q - 1 / sum(exp(-model.sharp * (v - min(losses))) for v in losses)) < 1e-4
+
+
+def test_features_against_brute_force():
+    """Counts of 1- to 3-byte runs of the folded text, hashed one by one."""
+    for text in ("Abc, déf 9", "aaaa", "é", " "):
+        folded = [32 if b in b" \t\n\x0b\x0c\r" or b < 128 and not chr(b).isalpha() else ord(chr(b).lower()) if b < 128 else b for b in text.encode()]
+        want = np.zeros(256)
+        for k in (1, 2, 3):
+            for i in range(len(folded) - k + 1):
+                code = 0
+                for b in folded[i : i + k]:
+                    code = code * 257 + b + 1
+                want[((code * 0x9E3779B1 + k * 0x85EBCA6B & 0xFFFFFFFF) * 0x27D4EB2F >> 15) & 255] += 1
+        want = np.sqrt(want) / max(np.sqrt(want.sum()), 1e-9)
+        assert np.allclose(language.features(texts(text), 256)[0], want, atol=1e-6)
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 2, 3, 4]), np.array([0.0, 1, 0, 0, 1])
     at, fit = toxicity.isotonic(x, y, np.ones(5))
