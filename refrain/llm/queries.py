@@ -75,7 +75,7 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return editprint.with_edited(_documents(spark, sf_dir))
+    return editprint.with_copies(_documents(spark, sf_dir))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

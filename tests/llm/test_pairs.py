@@ -289,28 +289,96 @@ def test_substrings_empty(none):
 
 
 def brute_edited(rows):
-    order = sorted(((-(2**63) if i is None else i, t or "", i) for i, t, *_ in rows), key=lambda r: (r[0], r[1]))
+    import xxhash
+
+    def place(r):
+        h = xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()
+        return r[0] is not None, r[0] if r[0] is not None else 0, h - 2**64 if h >= 2**63 else h
+
+    order = [(i, t or "") for i, t, *_ in sorted(rows, key=place)]
     out = []
-    for n, (_, t, i) in enumerate(order):
+    for n, (i, t) in enumerate(order):
         after, half = order[(n + 1) % len(order)][1], len(t) // 2
-        out.append((i, len(t), t[: len(t) - half] + after[:half]))
+        out.append((i, len(t), t[: len(t) - half] + after[:half], t, after))
     return out
 
 
-@pytest.mark.parametrize("ranges", [1, 5])
-def test_fingerprints(spark, odd, odd_rows, ranges, monkeypatch):
+def plain_print(text, s):
+    """The fingerprint from its definition: each walk step by step, each slot the least-ranked step's byte."""
+    M = 2**64 - 1
+
+    def mixed(x, seed):
+        x = (x + (seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019)) & M
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M
+        return x ^ x >> 31
+
+    code = [(ord(c) ^ (ord(c) >> 8) * 31 ^ ord(c) >> 16) & 255 for c in text]
+    out = []
+    for walk in range(s.walks):
+        seed, at, step, least, own = s.seed + 2 * walk, 0, 0, [None] * s.slots, [0] * s.slots
+        while at < len(code):
+            value = 0
+            for c in code[at : at + s.context]:
+                value = (value * 0x01000193 + c + 1) & 0xFFFFFFFF
+            value = ((value * 0x9E3779B1 & 0xFFFFFFFF) >> 16) % 255 + 1
+            for slot in range(s.slots):
+                rank = mixed(step * 4096 + slot, seed + 1)
+                if least[slot] is None or rank < least[slot]:
+                    least[slot], own[slot] = rank, value
+            at += (mixed((step % editprint.PERIOD) * 256 + code[at], seed) >> 63) + 1
+            step += 1
+        out += own
+    return bytes(out)
+
+
+def plain_likeness(a, b):
+    return min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / len(a) - 1 / 255) / (1 - 1 / 255)))
+
+
+def test_prints_against_brute_force():
+    rng = random.Random(10)
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(40)] + ["", "a", "ab", "éж🙂" * 9]
+    s = editprint.Settings()
+    got = editprint.fingerprints(texts, editprint.plans(s))
+    assert [p.tobytes() for p in got] == [plain_print(t, s) for t in texts]
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_fingerprints(spark, odd, odd_rows, parts):
     import hashlib
 
-    monkeypatch.setattr(editprint, "RANGE_ROWS", len(odd_rows) // ranges)
-    got = editprint.with_edited(odd).collect()
-    want = [(i, n, hashlib.sha256(e.encode()).hexdigest()) for i, n, e in brute_edited(odd_rows)]
-    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = editprint.with_edited(odd).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    shared = editprint.plans(editprint.Settings())
+    edited = brute_edited(odd_rows)
+    own, other, after = (editprint.fingerprints([r[k] for r in edited], shared) for k in (3, 2, 4))
+    want = [
+        (i, n, hashlib.sha256(e.encode()).hexdigest(), p.tobytes().hex(), q.tobytes().hex(), round(plain_likeness(p, q), 9), round(plain_likeness(p, r), 9))
+        for (i, n, e, *_), p, q, r in zip(edited, own, other, after, strict=True)
+    ]
+    assert sorted(((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got), key=repr) == sorted(want, key=repr)
     by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
     assert by_id[0]["fingerprint"] == by_id[20]["fingerprint"] != by_id[1]["fingerprint"]
     assert by_id[2]["near_edited"] > 0.3 > by_id[2]["near_next"]
 
 
+def test_fingerprints_of_ids_of_any_type(spark):
+    rows = [(f"{i:02d}", prose(random.Random(i), 30)) for i in range(12)]
+    wide = editprint.with_edited(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()
+    for kind in ("smallint", "int", "decimal(9,0)", "date"):
+        cast = f"cast(cast(doc_id as int) as {kind})" if kind != "date" else "date_add(date'2020-01-01', cast(doc_id as int))"
+        one = spark.createDataFrame(rows, "doc_id string, text string").selectExpr(f"{cast} doc_id", "text").repartition(3)
+        out = editprint.with_edited(one)
+        assert out.schema["doc_id"].dataType == one.schema["doc_id"].dataType
+        assert sorted(tuple(r)[1:] for r in out.collect()) == sorted(tuple(r)[1:] for r in wide)
+    empty_ids = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+    assert editprint.with_edited(empty_ids).count() == 12
+
+
 def test_fingerprints_alone(spark, none):
     one = editprint.with_edited(documents(spark, [(5, "abcd", "en", "s")])).collect()
     assert [(r["n_chars"], r["near_next"]) for r in one] == [(4, 1.0)]
@@ -330,3 +398,30 @@ def test_near_copies(spark, odd, none):
     assert got[20] == (0, 0) and got[21][1] == 0 and got[22][1] == 1 and got[2] == (2, 2)
     assert all(got[i] == (i, i) for i in (30, 31, 33))
     assert editprint.near_copies(none).count() == 0
+
+
+def test_near_copies_against_brute_force(spark):
+    """Copies with a few edits each: what bands and verification link is all that the likeness of all pairs links, but for the stated loss."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(60):
+        one = prose(rng, 80)
+        texts.append(one)
+        for _ in range(rng.randint(0, 3)):
+            words = one.split()
+            words[rng.randrange(80)] = "changed"
+            texts.append(" ".join(words))
+    s = editprint.Settings()
+    prints = editprint.fingerprints(texts, editprint.plans(s))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if plain_likeness(prints[i], prints[j]) >= s.alike]
+    want = reach(range(len(texts)), links)
+    got = {r["doc_id"]: r["component_id"] for r in editprint.near_copies(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert len(links) > 60 and sum(got[i] != c for i, c in want.items()) <= 2
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_copies_beside_edited_texts(spark, odd, none):
+    out = editprint.with_copies(odd)
+    got = {r["doc_id"]: (r["class_id"], r["component_id"], r["fingerprint"]) for r in out.collect()}
+    assert out.count() == odd.count() and got[20][:2] == (0, 0) and got[None][:2] == (None, None)
+    assert editprint.with_copies(none).count() == 0
