@@ -97,8 +97,10 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 
 def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find(_documents(spark, sf_dir))
-    count = lambda kind: F.size(F.filter(F.split("base", ","), lambda s: s.startswith(kind + ":"))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in personal.BASE), F.sha2("base", 256).alias("base_sha256"), "spans")
+    count = lambda spans, kind: F.size(F.filter(F.split(spans, ","), lambda s: s.startswith(kind))).cast("long")
+    base = (count("base", k + ":").alias(f"n_{k}") for k in personal.BASE)
+    more = (count("spans", "secret:").alias("n_secret"), F.size(F.filter(F.split("spans", ","), lambda s: s != "")).cast("long").alias("n_spans"))
+    return found.select("doc_id", *base, F.sha2("base", 256).alias("base_sha256"), "spans", *more)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
