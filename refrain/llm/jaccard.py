@@ -39,8 +39,8 @@ class Settings:
     small: int = 256  # classes in a bucket that is compared whole
     missed: float = 0.0002  # of pairs at the threshold, wanted after all runs, splits and comparisons
     alike: float = 0.62  # least share of equal min-hashes of a candidate; what it loses at the threshold counts as missed
-    block_rows: int = 1024
-    block_cost: int = 1 << 20  # n-grams in a block
+    block_rows: int = 2048
+    block_cost: int = 1 << 21  # n-grams in a block
     seed: int = 53
 
     @property
@@ -155,9 +155,9 @@ def _candidates(classes: DataFrame, s: Settings) -> DataFrame:
     rows = cut(rows.select("r", "c", F.xxhash64("r", *(pick(d) for d in range(s.first))).alias("path")))
     done, used = [], [rows]
     for depth in range(s.first, s.last + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = cut(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"))  # written, so that a hot bucket's rows can be split
         rows = cut(rows.join(sizes, "path"))
-        used.append(rows)
+        used += [sizes, rows]
         if depth == s.last:
             done.append(rows.select("path", "c", "size"))
             break
@@ -202,7 +202,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     s = settings
     found = sketches(docs, key, text, s)
     members = cut(found.groupBy("k").agg(F.min(F.struct("a", "b", "n", "tokens")).alias("v")).select("k", "v.*"))
+    slim = cut(members.select("k", "a", "b", F.when(F.col("k").isNotNull(), F.col("n")).alias("n")))
     classes = cut(members.where("n > 0 and k is not null").groupBy("a", "b", "n").agg(F.min("k").cast("long").alias("c"), F.count("*").alias("weight"), F.first("tokens").alias("tokens")))
+    discard(members)
     pairs = _candidates(classes, s)
     groups = cut(components(pairs).select(F.col("node").alias("c"), F.col("component").alias("g")))
     chosen = cut(groups.join(classes.select("c", "a", "b", "n", "weight"), "c"))
@@ -224,8 +226,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = components(units.select(F.col("item").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("least"))
     links = units.groupBy(F.col("item").alias("c")).agg(F.sum("links").alias("others"))
     result = cut(classes.select("a", "b", "n", "c", "weight").join(links, "c", "left").join(linked, "c", "left"))
-    discard(pairs, chosen, sizes, units)
-    out = members.select("k", "a", "b", F.when(F.col("k").isNotNull(), F.col("n")).alias("n")).join(result, ["a", "b", "n"], "left")
+    discard(pairs, groups, chosen, sizes, units, classes)
+    out = slim.join(result, ["a", "b", "n"], "left")
     out = out.select(
         F.col("k").alias(key),
         F.coalesce("c", F.col("k").cast("long")).alias("class_id"),

@@ -28,7 +28,11 @@ def reach(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_components(spark, monkeypatch, few):
+    import refrain.llm.components
+
+    monkeypatch.setattr(refrain.llm.components, "FEW", few)
     rng = random.Random(0)
     links = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7), (300, 301), (301, 300)]
     frame = spark.createDataFrame([*links, (None, 5), (5, None)], "a long, b long").repartition(5)
