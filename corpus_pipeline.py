@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from refrain.llm import jaccard, mixing, personal, pieces, toxicity
 from refrain.llm.sampling import held_out
-from refrain.runtime import cut, discard, join_small, workers_see_package
+from refrain.runtime import cut, discard, join_small, tables, workers_see_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +42,7 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source gets an equal expected share of as many rows as there are, in a globally shuffled order."""
+    """Every source, none included, gets an equal expected share of as many rows as there are, in a globally shuffled order."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
@@ -65,12 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each returns is written to the shared folder and read again."""
+    """Apply the stages to documents; what each returns is written to the shared folder and read again.
+
+    Tables that a stage wrote for itself, and its input if a stage made it, are deleted once its result is written.
+    """
     workers_see_package(spark)
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-        if before is not None:
-            discard(before)
-        before = docs
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        with tables() as made:
+            after = cut(stage(spark, docs, sf_dir))
+            made.remove(after)
+        discard(docs)
+        docs = after
     return docs
