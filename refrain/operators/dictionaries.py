@@ -17,6 +17,11 @@ class FrequentPrefixes:
     Only leaves are evicted, so the dictionary stays closed under prefixes. Counters hold an offset, ``threshold``,
     that all nodes share; raising it lowers every counter at once. ``counter - threshold`` never exceeds the number of
     true occurrences.
+
+    Nodes are numbered from 1 in the order of their first use, and take memory from then on; ``name`` gives the number
+    under which a node is published (the highest is handed out first), ``number`` the way back. As long as unused nodes
+    are left nothing is evicted, and it is enough to know when each was counted last. The buckets of leaves by counter,
+    the latest last, are made when the first leaf must go.
     """
 
     def __init__(self, nodes: int, max_freq: int):
@@ -24,12 +29,34 @@ class FrequentPrefixes:
             raise ValueError("a dictionary has two nodes at least")
         if max_freq < 5:
             raise ValueError("max_freq must be 5 or more")
-        self.nodes, self.cap, self.threshold, self.renormalised = nodes, max_freq - 1, 0, 0
+        self.nodes, self.cap, self.threshold, self.renormalised, self.clock = nodes, max_freq - 1, 0, 0, 0
         self.edges: dict[int, int] = {}  # parent << 8 | letter -> child
-        self.parent, self.label, self.children = [-1] * nodes, [0] * nodes, [0] * nodes
-        self.freq = [0] * nodes
-        # Leaves by counter, the latest last; nodes not yet used lie in the lowest bucket, the highest id handed out first.
-        self.buckets: dict[int, dict[int, None]] = {0: dict.fromkeys(range(1, nodes))}
+        self.parent, self.label, self.children, self.freq, self.last = [-1], [0], [0], [0], [0]
+        self.buckets: dict[int, dict[int, None]] | None = None
+
+    def name(self, node: int) -> int:
+        return self.nodes - node if node else ROOT
+
+    number = name  # the same the other way round
+
+    def adopt(self, walks: list[int], letters: list[int]) -> None:
+        """The state after LZ78 phrases whose i-th walk ended at ``walks[i]`` and then added node i + 1; edges are there already."""
+        self.parent += walks
+        self.label += letters
+        n = len(self.parent)
+        self.children, self.freq, self.last = [0] * n, [0] * n, [0] * n
+        parent, freq, last, cap = self.parent, self.freq, self.last, self.cap
+        for new, node in enumerate(walks, 1):
+            self.children[node] += 1
+            path = []
+            while node:
+                path.append(node)
+                node = parent[node]
+            for node in (*reversed(path), new):
+                if freq[node] < cap:
+                    freq[node] += 1
+                    last[node] = self.clock
+                    self.clock += 1
 
     def extend(self, node: int, letter: int) -> int:
         """The child that continues the walk, or -1 if it ends here (the longer prefix may have been added)."""
@@ -37,6 +64,11 @@ class FrequentPrefixes:
         if child is not None:
             self._count(child)
             return child
+        if self.buckets is None:
+            if len(self.parent) < self.nodes:
+                self._new(node, letter)
+                return -1
+            self._fill()
         garbage = self.buckets.get(self.threshold)
         if garbage:
             self._recycle(next(reversed(garbage)), node, letter)
@@ -46,11 +78,29 @@ class FrequentPrefixes:
                 self._renormalise()
         return -1
 
+    def _new(self, node: int, letter: int) -> None:
+        self.edges[node << 8 | letter] = len(self.parent)
+        self.parent.append(node)
+        self.label.append(letter)
+        self.children.append(0)
+        self.children[node] += 1
+        self.freq.append(1)
+        self.last.append(self.clock)
+        self.clock += 1
+
+    def _fill(self) -> None:
+        self.buckets = {}
+        for node in sorted((v for v in range(1, self.nodes) if not self.children[v]), key=self.last.__getitem__):
+            self.buckets.setdefault(self.freq[node], {})[node] = None
+
     def _count(self, node: int) -> None:
         f = max(self.freq[node], self.threshold)
         if f == self.cap:
             return
-        if not self.children[node]:
+        if self.buckets is None:
+            self.last[node] = self.clock
+            self.clock += 1
+        elif not self.children[node]:
             self._unlink(node)
             self.buckets.setdefault(f + 1, {})[node] = None
         self.freq[node] = f + 1
@@ -97,6 +147,19 @@ class FrequentPrefixes:
     def enter(self, data: bytes, at: int, end: int) -> None:
         """Count the prefixes of data[at:end] until the walk ends."""
         node = ROOT
+        if self.buckets is None:
+            edges, freq, last, cap, clock = self.edges, self.freq, self.last, self.cap, self.clock
+            while at < end:
+                child = edges.get(node << 8 | data[at])
+                if child is None:
+                    break
+                if freq[child] < cap:
+                    freq[child] += 1
+                    last[child] = clock
+                    clock += 1
+                node = child
+                at += 1
+            self.clock = clock
         while at < end and node >= 0:
             node = self.extend(node, data[at])
             at += 1
@@ -109,8 +172,8 @@ class FrequentPrefixes:
         return bytes(reversed(out))
 
     def rows(self) -> list[tuple[int, int, int, int, bytes]]:
-        """(node, parent, letter, counter, spelled) of the nodes in use."""
-        return [(v, self.parent[v], self.label[v], self.freq[v], self.spell(v)) for v in range(1, self.nodes) if self.parent[v] >= 0]
+        """(name, parent's name, letter, counter, spelled) of the nodes in use, by name."""
+        return [(self.name(v), self.name(self.parent[v]), self.label[v], self.freq[v], self.spell(v)) for v in range(len(self.parent) - 1, 0, -1)]
 
 
 class RecentPrefixes:
@@ -123,11 +186,27 @@ class RecentPrefixes:
     def __init__(self, nodes: int):
         if nodes < 2:
             raise ValueError("a dictionary has two nodes at least")
-        self.nodes, self.used, self.clock = nodes, 1, 0
+        self.nodes, self.clock = nodes, 0
         self.edges: dict[int, int] = {}
-        self.parent, self.label, self.children, self.time = [-1] * nodes, [0] * nodes, [0] * nodes, [0] * nodes
+        self.parent, self.label, self.children, self.time = [-1], [0], [0], [0]
         self.leaves: list[tuple[int, int]] = []  # (time, node); entries of nodes that have children or were reused are stale
 
+    def name(self, node: int) -> int:
+        return node
+
+    number = name
+
+    def adopt(self, walks: list[int], letters: list[int]) -> None:
+        """The state after LZ78 phrases whose i-th walk ended at ``walks[i]`` and then added node i + 1; edges are there already."""
+        self.parent += walks
+        self.label += letters
+        self.children = [0] * len(self.parent)
+        for node in walks:
+            self.children[node] += 1
+        self.clock = len(walks)
+        self.time = [0, *range(self.clock)]
+        self.leaves = [(v - 1, v) for v in range(1, len(self.parent)) if not self.children[v]]
+
     def _victim(self, cursor: int) -> int:
         kept, found = None, -1
         while self.leaves:
@@ -147,9 +226,10 @@ class RecentPrefixes:
         child = self.edges.get(node << 8 | letter)
         if child is not None:
             return child
-        if self.used < self.nodes:
-            new = self.used
-            self.used += 1
+        if len(self.parent) < self.nodes:
+            new = len(self.parent)
+            for column in (self.parent, self.label, self.children, self.time):
+                column.append(0)
         else:
             new = self._victim(node)
             if new < 0:

@@ -14,7 +14,7 @@ from refrain.arrowio import map_groups, map_rows
 from refrain.operators.chunks import approximate_references
 from refrain.operators.dictionaries import ROOT, FrequentPrefixes
 from refrain.operators.lz77 import references
-from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, TRIE, Phrases, copy, decoded, rows
+from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, TRIE, Phrases, copy, decoded, numbers
 
 
 def _sketch(k: int, max_freq: int) -> FrequentPrefixes:
@@ -30,7 +30,7 @@ def parse_window(out: Phrases, data: bytes, sketch: FrequentPrefixes, refs: list
             z += 1
         left = refs[z][2] - (at - refs[z][0]) if z < len(refs) and at >= refs[z][0] else 0
         if depth and depth >= left:
-            out.add(TRIE, depth, node=node)
+            out.add(TRIE, depth, node=sketch.name(node))
             at += depth
         elif left > 1:
             out.add(REF, left, dist=refs[z][1])
@@ -68,11 +68,12 @@ def topk_lz77_decode(phrases: DataFrame, k: int = 1 << 20, max_freq: int = 1 <<
 
     def work(table: pa.Table) -> pa.RecordBatch:
         out, sketch = bytearray(), _sketch(k, max_freq)
-        for _, kind, length, dist, node, literal in rows(table):
-            if kind == "lit":
+        columns = (numbers(table, c).tolist() for c in ("len", "dist", "node", "literal"))
+        for length, dist, node, literal in zip(*columns, strict=True):
+            if literal >= 0:
                 out.append(literal)
-            elif kind == "trie":
-                out += sketch.spell(node)
+            elif node >= 0:
+                out += sketch.spell(sketch.number(node))
             else:
                 copy(out, dist, length)
                 phrase = bytes(out[-length:])
@@ -80,4 +81,4 @@ def topk_lz77_decode(phrases: DataFrame, k: int = 1 << 20, max_freq: int = 1 <<
                     sketch.enter(phrase, x, length)
         return decoded(table.column("stream_id")[0].as_py(), out)
 
-    return map_groups(phrases, "stream_id", ["seq"], work, DECODED)
+    return map_groups(phrases.select("stream_id", "seq", "len", "dist", "node", "literal"), "stream_id", ["seq"], work, DECODED)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.arrowio import map_groups, map_rows
-from refrain.operators.phrases import DECODED, REF, SCHEMA, Phrases, copy, decoded, rows
+from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, Phrases, copy, decoded, numbers
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -64,6 +64,23 @@ def _common(data: bytes, a: int, b: int) -> int:
     return at
 
 
+#: Letters that are compared for all positions at once.
+_SHORT = 16
+
+
+def _common_start(data: bytes, source: np.ndarray) -> np.ndarray:
+    """Length, _SHORT at most, of the common prefix of data[i:] and data[source[i]:] for every i; 0 where there is no source."""
+    n = len(data)
+    letters = np.full(n + _SHORT, 256, np.uint16)
+    letters[:n] = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(source >= 0)
+    out = np.zeros(n, np.int64)
+    for k in range(_SHORT):
+        at = at[letters[at + k] == letters[source[at] + k]]
+        out[at] += 1
+    return out
+
+
 def references(data: bytes, min_ref_len: int = 2) -> list[tuple[int, int, int]]:
     """(position, distance, length) of the greedy parse's references; positions between them are literals.
 
@@ -72,14 +89,17 @@ def references(data: bytes, min_ref_len: int = 2) -> list[tuple[int, int, int]]:
     if len(data) < 2:
         return []
     before, after = _smaller_neighbours(suffix_array(data).tolist())
+    short = [_common_start(data, np.array(x)).tolist() for x in (before, after)]
     out, at, n = [], 0, len(data)
     while at < n:
-        length, source = 0, -1
-        for s in (before[at], after[at]):
-            if s >= 0:
-                common = _common(data, s, at)
-                if common > length or common == length and s > source:
-                    length, source = common, s
+        length, source = short[0][at], before[at]
+        other = short[1][at]
+        if length == _SHORT:
+            length = _common(data, source, at)
+        if other == _SHORT:
+            other = _common(data, after[at], at)
+        if other > length or other == length and after[at] > source:
+            length, source = other, after[at]
         if length >= min_ref_len:
             out.append((at, at - source, length))
             at += length
@@ -88,6 +108,20 @@ def references(data: bytes, min_ref_len: int = 2) -> list[tuple[int, int, int]]:
     return out
 
 
+def window_phrases(out: Phrases, data: bytes, refs: list[tuple[int, int, int]]) -> None:
+    """The phrases of a window: its references, and a literal for each byte between them."""
+    n = len(data)
+    pos, dist, length = np.array(refs, np.int64).reshape(-1, 3).T
+    inside = np.zeros(n + 1, np.int32)
+    inside[pos + 1] += 1
+    np.subtract.at(inside, pos + length, 1)
+    at = np.flatnonzero(np.cumsum(inside[:n]) == 0)  # where phrases begin
+    ref = np.searchsorted(at, pos)
+    kind, size, back, letter = np.full(len(at), LIT), np.ones(len(at), np.int64), np.full(len(at), -1), np.frombuffer(data, np.uint8)[at].astype(np.int64)
+    kind[ref], size[ref], back[ref], letter[ref] = REF, length, dist, -1
+    out.add_all(kind, size, dist=back, literal=letter)
+
+
 def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int = 2) -> DataFrame:
     """Phrases of each stream; with ``window``, consecutive windows of so many bytes are parsed independently.
 
@@ -100,12 +134,8 @@ def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int =
             out.start(stream)
             size = window or max(1, len(data or b""))
             for base in range(0, len(data or b""), size):
-                part, at = data[base : base + size], 0
-                for pos, dist, length in references(part, min_ref_len):
-                    out.literals(part[at:pos])
-                    out.add(REF, length, dist=dist)
-                    at = pos + length
-                out.literals(part[at:])
+                part = data[base : base + size]
+                window_phrases(out, part, references(part, min_ref_len))
                 out.window += 1
         return out.batch()
 
@@ -116,15 +146,18 @@ def lz77_decode(phrases: DataFrame) -> DataFrame:
     """(stream_id, bytes) from literals and references; streams without phrases are absent."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        out = bytearray()
-        for _, kind, length, dist, _, literal in rows(table):
-            if kind == "lit":
-                out.append(literal)
-            else:
-                copy(out, dist, length)
+        out, dist, size, literal = bytearray(), *(numbers(table, c) for c in ("dist", "len", "literal"))
+        ref = np.flatnonzero(dist >= 0)
+        letters = literal[dist < 0].astype(np.uint8).tobytes()
+        at = 0
+        for k, d, n in zip((ref - np.arange(len(ref))).tolist(), dist[ref].tolist(), size[ref].tolist(), strict=True):  # k literals come before
+            out += letters[at:k]
+            copy(out, d, n)
+            at = k
+        out += letters[at:]
         return decoded(table.column("stream_id")[0].as_py(), out)
 
-    return map_groups(phrases, "stream_id", ["seq"], work, DECODED)
+    return map_groups(phrases.select("stream_id", "seq", "len", "dist", "literal"), "stream_id", ["seq"], work, DECODED)
 
 
 def longest_previous(texts: DataFrame, key: str, text: str, longest: int = 64) -> DataFrame:

@@ -17,10 +17,11 @@ LIT, REF, NODE, TRIE = range(4)
 
 
 class Phrases:
-    """Collects phrases of several streams as columns. Absent numbers are written as -1 and become null."""
+    """Collects phrases of several streams as columns, one by one or many at a time. Absent numbers are -1 and become null."""
 
     def __init__(self):
         self.flat: list[int] = []  # nine numbers a phrase
+        self.blocks: list[np.ndarray] = []  # finished phrases, a row of numbers for each column
         self.stream = self.window = self.seq = self.pos = 0
 
     def start(self, stream: int) -> None:
@@ -31,25 +32,35 @@ class Phrases:
         self.seq += 1
         self.pos += length
 
-    def literals(self, data: bytes) -> None:
-        """A literal for each byte."""
-        flat, stream, window, seq, pos = self.flat, self.stream, self.window, self.seq, self.pos
-        for c in data:
-            flat += (stream, window, seq, LIT, pos, 1, -1, -1, c)
-            seq += 1
-            pos += 1
-        self.seq, self.pos = seq, pos
+    def add_all(self, kind, length: np.ndarray, dist=-1, node=-1, literal=-1) -> None:
+        """Phrases that follow each other; everything but the lengths may be one number for all."""
+        n = len(length)
+        if not n:
+            return
+        self._close()
+        block = np.empty((9, n), np.int64)
+        block[0], block[1], block[2], block[3], block[5], block[6], block[7], block[8] = self.stream, self.window, np.arange(self.seq, self.seq + n), kind, length, dist, node, literal
+        block[4, 0], block[4, 1:] = self.pos, self.pos + np.cumsum(length[:-1])
+        self.blocks.append(block)
+        self.seq += n
+        self.pos += int(length.sum())
+
+    def _close(self) -> None:
+        if self.flat:
+            self.blocks.append(np.array(self.flat, np.int64).reshape(-1, 9).T)
+            self.flat = []
 
     @property
     def columns(self) -> np.ndarray:
         """A row of numbers for each column of the table."""
-        return np.array(self.flat, np.int64).reshape(-1, 9).T
+        self._close()
+        return np.concatenate([np.zeros((9, 0), np.int64), *self.blocks], axis=1)
 
     def batch(self) -> pa.RecordBatch:
         arrays = []
         for f, x in zip(_ARROW, self.columns, strict=True):
             if f.name == "kind":
-                arrays.append(pa.array(np.array(KINDS, object)[x], pa.string()))
+                arrays.append(pa.DictionaryArray.from_arrays(pa.array(x.astype(np.int8)), pa.array(KINDS)).cast(pa.string()))
             elif f.name in ("dist", "node", "literal"):
                 arrays.append(pa.array(x, mask=x < 0).cast(f.type))
             else:
@@ -57,10 +68,9 @@ class Phrases:
         return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-def rows(table: pa.Table):
-    """(window, kind, len, dist, node, literal) of each phrase in order; absent numbers are -1."""
-    get = lambda n: table.column(n).combine_chunks().fill_null(-1).to_pylist()
-    return zip(get("window_id"), table.column("kind").to_pylist(), get("len"), get("dist"), get("node"), get("literal"), strict=True)
+def numbers(table: pa.Table, name: str) -> np.ndarray:
+    """A column as numbers; absent ones are -1."""
+    return table.column(name).combine_chunks().fill_null(-1).to_numpy().astype(np.int64)
 
 
 def copy(out: bytearray, dist: int, length: int) -> None:

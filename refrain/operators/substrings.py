@@ -193,7 +193,7 @@ def sketch_dump(streams: DataFrame, k: int, max_freq: int = 1 << 20) -> DataFram
         found = []
         for stream, data in zip(batch.column("stream_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
             s = _sketch_rows([data or b""], k, max_freq)
-            found += [(stream, v, parent, label, len(sub), s.children[v], freq, s.threshold, s.renormalised) for v, parent, label, freq, sub in s.rows()]
+            found += [(stream, v, parent, label, len(sub), s.children[s.number(v)], freq, s.threshold, s.renormalised) for v, parent, label, freq, sub in s.rows()]
         columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 

@@ -34,13 +34,13 @@ def stream_lz78(chunks: DataFrame, k: int, max_freq: int = 1 << 10, evict: str =
             for c in data or b"":
                 child = dictionary.extend(node, c)
                 if child < 0:
-                    out.add(NODE, length + 1, node=node, literal=c)
+                    out.add(NODE, length + 1, node=dictionary.name(node), literal=c)
                     node, length = ROOT, 0
                 else:
                     node, length = child, length + 1
         if rows["last"].any():
             if length:
-                out.add(TRIE, length, node=node)
+                out.add(TRIE, length, node=dictionary.name(node))
             if state.exists:
                 state.remove()
         else:
