@@ -107,6 +107,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_documents(spark, sf_dir))
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b, m = na.n AND m = nb.n AS same FROM common JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 9 * m >= 4 * (na.n + nb.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT w.doc_id, least(w.doc_id, (SELECT min(b) FROM links WHERE a = w.doc_id AND same)) AS class_id, (SELECT count(*) FROM links WHERE a = w.doc_id)::BIGINT AS n_links,
+  min(reach.b) AS component_id, w.doc_id = min(reach.b) AS kept
+FROM w JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -119,4 +131,4 @@ QUERIES = {
     "op9_personal": op9_personal,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_vectors": OP5_SQL, "op8_substrings": OP8_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_vectors": OP5_SQL, "op8_substrings": OP8_SQL, "op10_jaccard": OP10_SQL}
