@@ -118,8 +118,9 @@ def approx_topk_substrings(streams: DataFrame, k: int, max_freq: int = 1 << 20,
     """Frequent substrings by bounded sketches over every start position.
 
     mode 'stream': a sketch for each row: (stream_id, node, substr, fp, len, freq, freq_lower); freq is the raw counter,
-    freq_lower = raw - threshold never exceeds the true count. mode 'merged': a sketch for each batch of rows, merged by
-    adding lower bounds, subtracting the (k+1)-th and keeping the k largest: (substr, fp, len, freq_lower).
+    freq_lower = raw - threshold never exceeds the true count. mode 'merged': the sketches of all rows merged by adding
+    lower bounds, subtracting the (k+1)-th and keeping the k largest: (substr, fp, len, freq_lower). However rows are
+    dealt over partitions, the answer is the same.
     """
 
     def rows(sketch: FrequentPrefixes) -> list[tuple]:
@@ -129,17 +130,13 @@ def approx_topk_substrings(streams: DataFrame, k: int, max_freq: int = 1 << 20,
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, data = batch.column("stream_id").to_pylist(), [x or b"" for x in batch.column("bytes").to_pylist()]
-        if mode == "merged":
-            ids, data = [None], [data]
-        else:
-            data = [[x] for x in data]
+        ids, data = batch.column("stream_id").to_pylist(), [[x or b""] for x in batch.column("bytes").to_pylist()]
         found = [(i, *r) for i, x in zip(ids, data, strict=True) for r in rows(_sketch_rows(x, k, max_freq))]
         columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     schema = "stream_id long, node long, substr binary, fp long, len int, freq long, freq_lower long"
-    out = map_rows(streams.select("stream_id", "bytes"), work, schema, rows=256 if mode == "stream" else 2000)
+    out = map_rows(streams.select("stream_id", "bytes"), work, schema)
     if mode == "stream":
         return out
     total = out.groupBy("substr").agg(F.first("fp").alias("fp"), F.first("len").alias("len"), F.sum("freq_lower").alias("freq_lower"))

@@ -18,6 +18,8 @@ from refrain.streaming.windows import tumbling_counts
 
 #: Parameters of the registered queries: sketch nodes, counter cap, window bytes, sampling exponent.
 K, CAP, WINDOW, SAMPLING = 4096, 1024, 4096, 6
+#: Those of queries that show how a full sketch behaves.
+SMALL_K, SMALL_CAP = 24, 16
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +79,10 @@ def frequencies_csv(spark, sf_dir):
 
 
 def topk_overlap_score(spark, sf_dir):
-    exact = substrings.with_fingerprint(_top(spark, sf_dir), "char")
-    approx = substrings.with_fingerprint(_top(spark, sf_dir, "role = 'user'"), "char")
+    """How many of the exact most frequent substrings the merged sketches of the single texts find."""
+    streams = _benchmark(spark, sf_dir)
+    approx = substrings.approx_topk_substrings(streams, SMALL_K, SMALL_CAP, mode="merged")
+    exact = substrings.with_fingerprint(substrings.topk_substrings(streams, SMALL_K))
     out = substrings.topk_overlap(exact, approx, [F.desc("freq"), F.asc("len"), F.asc("sub")])
     return out.select("k", "hits", F.round("score", 6).alias("score"))
 
@@ -97,6 +101,25 @@ def approx_topk_bounds(spark, sf_dir):
     return over.crossJoin(orphans)  # a row each
 
 
+def _lz78_rows(phrases: DataFrame) -> DataFrame:
+    return phrases.select(F.col("stream_id").alias("item_id"), "seq", "node", F.col("literal").cast("int").alias("literal"), "len")
+
+
+def topk_lz78_phrases(spark, sf_dir):
+    """Phrases of a sketch so small that entries are recycled and counters renormalised."""
+    return _lz78_rows(lz78.topk_lz78_parse(_benchmark(spark, sf_dir), SMALL_K, SMALL_CAP))
+
+
+def age_lz78_phrases(spark, sf_dir):
+    return _lz78_rows(lz78.age_lz78_parse(_benchmark(spark, sf_dir), SMALL_K))
+
+
+def approx_topk_by_item(spark, sf_dir):
+    """The sketch of each text, entry by entry."""
+    found = substrings.approx_topk_substrings(_benchmark(spark, sf_dir), SMALL_K, SMALL_CAP)
+    return found.select(F.col("stream_id").alias("item_id"), "node", F.decode("substr", "ISO-8859-1").alias("sub"), F.col("len").cast("long").alias("len"), "freq", "freq_lower")
+
+
 def approx_topk_merged(spark, sf_dir):
     streams = sources.corpus(_table(spark, sf_dir, "conversations"), "conv_id", "text")
     return substrings.approx_topk_substrings(streams, 100, CAP, mode="merged").select("substr", "len", "freq_lower")
@@ -201,7 +224,7 @@ def suffix_order(spark, sf_dir):
 
 
 def sketch_state(spark, sf_dir):
-    dump = substrings.sketch_dump(_benchmark(spark, sf_dir), 256, CAP)
+    dump = substrings.sketch_dump(_benchmark(spark, sf_dir), 64, SMALL_CAP)
     return dump.groupBy(F.col("stream_id").alias("item_id")).agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), F.max("threshold").alias("threshold"), F.max("renormalised").alias("renormalised"))
 
 
@@ -294,7 +317,7 @@ def lang_source_cube(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    topk_substrings_global, topk_substrings_by_lang, topk_substrings_unbounded, substring_len_histogram, topk_fingerprints, frequencies_csv, topk_overlap_score, approx_topk_bounds, approx_topk_merged,
+    topk_substrings_global, topk_substrings_by_lang, topk_substrings_unbounded, substring_len_histogram, topk_fingerprints, frequencies_csv, topk_overlap_score, approx_topk_bounds, approx_topk_by_item, approx_topk_merged, topk_lz78_phrases, age_lz78_phrases,
     lz78_roundtrip, topk_lz78_roundtrip, lz78_age_roundtrip, lz77_roundtrip, lz77_blockwise_roundtrip, topk_lz77_roundtrip, topk_lz77_sampled_roundtrip, topk_lz77_len_check, hybrid_phrase_stats,
     lz78_phrase_stats, lz77_phrase_stats, lpf_relational, token_block_ranges, token_cost_rollup, token_blocks_roundtrip, token_header_bits, token_huffman_costs, compress_roundtrip, prepass_roundtrip, suffix_order, sketch_state, literal_entropy, byte_histogram, varint_sizes, lz78_ref_bits, memory_plan,
     chunk_cardinality_gate, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
@@ -328,6 +351,54 @@ p0 AS (SELECT item_id, ix, node, lit, len FROM s WHERE node IS NOT NULL
   UNION ALL SELECT item_id, ix + 1, list_position(dict, cur), NULL, length(cur) FROM s WHERE ix = length(text) AND cur <> ''),
 p AS MATERIALIZED (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ix) - 1 AS seq, node, lit, len FROM p0)"""
 
+#: A dictionary entry in SQL: when it was last linked as a leaf, its string, published number and counter.
+_ENTRY = "STRUCT(st INT, s VARCHAR, id INT, f INT)"
+_LEAF = "lambda e: len(list_filter(ents, lambda y: length(y.s) = length(e.s) + 1 AND starts_with(y.s, e.s))) = 0"
+
+
+def _bounded(k: int, cap: int, substrings: bool) -> str:
+    """SQL for Misra-Gries prefixes with k entries, byte by byte: LZ78 phrases as the walk goes, or a walk from every start.
+
+    A known child is counted. Else an unused entry is taken, or the leaf at the threshold that was linked last, whose
+    parent may become a leaf; if there is none, the threshold goes up, and at half the cap all counters come down.
+    """
+    on = "start" if substrings else "0"
+    at = "CASE WHEN NOT known OR ix + 1 >= length(text) THEN start + 1 ELSE ix + 1 END" if substrings else "ix + 1"
+    cur = "CASE WHEN known AND ix + 1 < length(text) THEN child ELSE '' END" if substrings else "CASE WHEN known THEN child ELSE '' END"
+    start = "CASE WHEN NOT known OR ix + 1 >= length(text) THEN start + 1 ELSE start END" if substrings else "start"
+    return f"""WITH RECURSIVE {_BYTES}, s AS (SELECT item_id, text, 0 AS start, 0 AS ix, '' AS cur, 0 AS cur_id, []::{_ENTRY}[] AS ents, 0 AS th, 0 AS ren, 0 AS clock, NULL::INT AS node, NULL::VARCHAR AS lit, NULL::INT AS len FROM b
+  UNION ALL SELECT item_id, text, {start}, {at}, {cur}, CASE WHEN known THEN hit.id ELSE 0 END,
+    CASE WHEN known THEN list_transform(ents, lambda e: CASE WHEN e.s = child AND greatest(e.f, th) < {cap - 1} THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': greatest(e.f, th) + 1}} ELSE e END)
+      WHEN len(ents) < {k} THEN list_append(ents, {{'st': clock, 's': child, 'id': ({k} - len(ents))::INT, 'f': th + 1}})
+      WHEN victim IS NOT NULL THEN list_append(list_transform(list_filter(ents, lambda e: e.s <> victim.s), lambda e: CASE WHEN e.s = victim.s[:-2] AND len(list_filter(ents, lambda y: length(y.s) = length(e.s) + 1 AND starts_with(y.s, e.s))) = 1
+        THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': e.f}} ELSE e END), {{'st': clock + 1, 's': child, 'id': victim.id, 'f': greatest(victim.f, th) + 1}})
+      WHEN th + 1 >= {(cap - 1) // 2} THEN list_transform(ents, lambda e: {{'st': e.st, 's': e.s, 'id': e.id, 'f': greatest(e.f, th + 1) - (th + 1)}}) ELSE ents END,
+    CASE WHEN known OR len(ents) < {k} OR victim IS NOT NULL THEN th WHEN th + 1 >= {(cap - 1) // 2} THEN 0 ELSE th + 1 END,
+    CASE WHEN known OR len(ents) < {k} OR victim IS NOT NULL OR th + 1 < {(cap - 1) // 2} THEN ren ELSE ren + 1 END,
+    clock + 2, CASE WHEN NOT known THEN cur_id END, CASE WHEN NOT known THEN c END, CASE WHEN NOT known THEN length(cur) + 1 END
+  FROM (SELECT *, list_filter(ents, lambda e: e.s = child)[1] AS hit, hit IS NOT NULL AS known,
+      CASE WHEN hit IS NULL AND len(ents) >= {k} THEN list_sort(list_filter(list_filter(ents, lambda e: greatest(e.f, th) = th), {_LEAF}), 'DESC')[1] END AS victim
+    FROM (SELECT *, substr(text, ix + 1, 1) AS c, cur || substr(text, ix + 1, 1) AS child FROM s WHERE ix < length(text) AND {on} < length(text))))"""
+
+
+def _aged(k: int) -> str:
+    """SQL for LZ78 whose dictionary of k - 1 entries besides the root drops the leaf added first, but never the one in hand. Entries stand in the order of their adding."""
+    return f"""WITH RECURSIVE {_BYTES}, s AS (SELECT item_id, text, 0 AS ix, '' AS cur, 0 AS cur_id, []::{_ENTRY}[] AS ents, NULL::INT AS node, NULL::VARCHAR AS lit, NULL::INT AS len FROM b
+  UNION ALL SELECT item_id, text, ix + 1, CASE WHEN known THEN child ELSE '' END, CASE WHEN known THEN hit.id ELSE 0 END,
+    CASE WHEN known THEN ents WHEN len(ents) < {k - 1} THEN list_append(ents, {{'st': 0, 's': child, 'id': len(ents)::INT + 1, 'f': 0}})
+      WHEN victim IS NOT NULL THEN list_append(list_filter(ents, lambda e: e.s <> victim.s), {{'st': 0, 's': child, 'id': victim.id, 'f': 0}}) ELSE ents END,
+    CASE WHEN NOT known THEN cur_id END, CASE WHEN NOT known THEN c END, CASE WHEN NOT known THEN length(cur) + 1 END
+  FROM (SELECT *, list_filter(ents, lambda e: e.s = child)[1] AS hit, hit IS NOT NULL AS known, CASE WHEN hit IS NULL AND len(ents) >= {k - 1} THEN list_filter(list_filter(ents, lambda e: e.s <> cur), {_LEAF})[1] END AS victim
+    FROM (SELECT *, substr(text, ix + 1, 1) AS c, cur || substr(text, ix + 1, 1) AS child FROM s WHERE ix < length(text))))"""
+
+
+#: LZ78 phrases of either kind from the steps: with a letter where a walk ends, and a last one without.
+_PHRASES = """, p0 AS (SELECT item_id, ix, node, lit, len FROM s WHERE node IS NOT NULL UNION ALL SELECT item_id, ix + 1, cur_id, NULL, length(cur) FROM s WHERE ix = length(text) AND cur <> '')
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ix) - 1 AS seq, node::BIGINT AS node, unicode(lit)::INT AS literal, len::BIGINT AS len FROM p0"""
+
+#: The last state of each item's walk over all starts, and the entries in it.
+_LAST = ", z AS MATERIALIZED (SELECT item_id, arg_max(ents, clock) AS ents, max_by(th, clock) AS th, max_by(ren, clock) AS ren FROM s GROUP BY item_id), e AS MATERIALIZED (SELECT item_id, th, ren, unnest(ents) AS e FROM z)"
+
 _TOKENS = (
     _LZ78
     + """, t0 AS (SELECT item_id, seq, 0 AS i, 4 AS type, node AS value FROM p UNION ALL SELECT item_id, seq, 1, 2, unicode(lit) FROM p WHERE lit IS NOT NULL),
@@ -351,8 +422,15 @@ ORACLES = {
     "substring_len_histogram": f"SELECT len, count(*) AS substrings, sum(freq)::BIGINT AS occurrences FROM ({_global()}) GROUP BY len",
     "topk_fingerprints": f"SELECT {_fp('sub')} AS fp, len, freq FROM ({_global()})",
     "frequencies_csv": f"SELECT {_fp('sub')} AS fp, len, freq FROM ({_global()})",
-    "topk_overlap_score": f"""WITH e AS ({_global()}), a AS ({_global("role = 'user'")}), h AS (SELECT count(*) AS hits FROM e WHERE sub IN (SELECT sub FROM a))
-      SELECT (SELECT count(*) FROM a) AS k, hits, round(hits / (SELECT count(*) FROM a)::DOUBLE, 6) AS score FROM h""",
+    "topk_overlap_score": _bounded(SMALL_K, SMALL_CAP, True) + _LAST
+    + f""", sums AS (SELECT e.s AS sub, sum(greatest(e.f - th, 0)) AS n FROM e GROUP BY 1), top AS (SELECT *, row_number() OVER (ORDER BY n DESC, length(sub), sub) AS r FROM sums WHERE n > 0),
+      a AS MATERIALIZED (SELECT sub FROM top WHERE r <= {SMALL_K} AND n > coalesce((SELECT n FROM top WHERE r = {SMALL_K + 1}), 0)),
+      x AS (SELECT sub FROM {_grams('b', 24)} GROUP BY sub, len ORDER BY count(*) DESC, len, sub LIMIT (SELECT count(*) FROM a))
+      SELECT (SELECT count(*) FROM a) AS k, count(*) AS hits, round(count(*) / (SELECT count(*) FROM a)::DOUBLE, 6) AS score FROM x WHERE sub IN (SELECT sub FROM a)""",
+    "topk_lz78_phrases": _bounded(SMALL_K, SMALL_CAP, False) + _PHRASES,
+    "age_lz78_phrases": _aged(SMALL_K) + _PHRASES,
+    "approx_topk_by_item": _bounded(SMALL_K, SMALL_CAP, True) + _LAST + " SELECT item_id, e.id::BIGINT AS node, e.s AS sub, length(e.s) AS len, e.f::BIGINT AS freq, greatest(e.f - th, 0)::BIGINT AS freq_lower FROM e",
+    "sketch_state": _bounded(64, SMALL_CAP, True) + _LAST + " SELECT item_id, count(*) AS nodes, max(length(e.s)) AS deepest, max(th)::BIGINT AS threshold, max(ren)::BIGINT AS renormalised FROM e GROUP BY item_id",
     "approx_topk_bounds": "SELECT 0::BIGINT AS above, 0::BIGINT AS unused, 0::BIGINT AS orphans",
     **dict.fromkeys(("lz78_roundtrip", "topk_lz78_roundtrip", "lz78_age_roundtrip", "lz77_roundtrip", "lz77_blockwise_roundtrip", "topk_lz77_roundtrip", "topk_lz77_sampled_roundtrip", "compress_roundtrip", "prepass_roundtrip"), _DOCUMENTS),
     "topk_lz77_len_check": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, 0::BIGINT AS gaps FROM documents WHERE text IS NOT NULL AND text <> ''",
