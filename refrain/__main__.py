@@ -21,7 +21,7 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     def command(name: str, help_: str, decodes: bool = True) -> argparse.ArgumentParser:
         p = sub.add_parser(name, help=help_)
         p.add_argument("path")
-        p.add_argument("-o", "--output")
+        p.add_argument("-o", "--output", nargs="?", const="", help="without a name: the path with the command's ending")
         p.add_argument("-p", "--prefix", type=size)
         if decodes:
             p.add_argument("-d", "--decode", action="store_true")
@@ -52,9 +52,21 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     return top.parse_args(argv)
 
 
+#: Endings of files that are named after their input.
+ENDINGS = {"compress": ".zk", "lz77": ".lz77", "lz78": ".lz78", "lz78-age": ".lz78lru", "topk-lz77": ".topklz77", "topk-lz78": ".topklz78", "topk": ".csv"}
+
+
+def default_output(path: str, command: str, decode: bool = False, windows: bool = False) -> str:
+    """The path with the ending of the command's tables, or with .dec for a decoded one."""
+    ending = ".dec" if decode else ".lz77block" if command == "lz77" and windows else ENDINGS[command]
+    return path.rstrip("/") + ending
+
+
 def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
     """Do what the arguments say; the table that was written, or the metrics."""
     a = arguments(argv)
+    if getattr(a, "output", None) == "":
+        a.output = default_output(a.path, a.command, getattr(a, "decode", False), bool(getattr(a, "window", None)))
     workers_see_package(spark)
     if a.command == "compare":
         return substrings.topk_overlap(sources.read_frequencies(spark, a.exact), sources.read_frequencies(spark, a.approx))

@@ -42,32 +42,40 @@ def parse_window(out: Phrases, data: bytes, sketch: FrequentPrefixes, refs: list
             at += 1
 
 
-def topk_lz77_parse(streams: DataFrame, k: int = 1 << 20, window: int = 1 << 20, max_freq: int = 1 << 10, sampling: int = 4, suffixes: int = 1, min_ref_len: int = 2) -> DataFrame:
+def topk_lz77_parse(streams: DataFrame, k: int | str = 1 << 20, window: int | str = 1 << 20, max_freq: int = 1 << 10, sampling: int = 4, suffixes: int = 1, min_ref_len: int = 2) -> DataFrame:
     """Phrases of kinds lit, ref (distance within the window) and trie. ``sampling`` 0 finds exact references.
 
-    The sketch has k - 1 nodes, the root included; k is 3 or more. Empty streams have no phrases.
+    The sketch has k - 1 nodes, the root included; k is 3 or more, smaller ones are taken as 3 and windows as 1 at least.
+    k and window may name columns of ``streams``, so that every stream has its own; phrases then carry such a k as a
+    column of that name. Empty streams have no phrases.
     """
+    own = [c for c in dict.fromkeys((k, window)) if isinstance(c, str)]
+    carried = [("k", k)] if isinstance(k, str) else []
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = Phrases()
-        for stream, data in zip(batch.column("stream_id").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+        out, sizes = Phrases(), []
+        get = lambda p: batch.column(batch.schema.get_field_index(p)).to_pylist() if isinstance(p, str) else [p] * batch.num_rows
+        for stream, data, nodes, size in zip(batch.column("stream_id").to_pylist(), batch.column("bytes").to_pylist(), get(k), get(window), strict=True):
             out.start(stream)
-            sketch = _sketch(k, max_freq)
-            for base in range(0, len(data or b""), window):
-                part = data[base : base + window]
+            nodes, size = max(3, nodes or 0), max(1, size or 0)
+            sketch = _sketch(nodes, max_freq)
+            for base in range(0, len(data or b""), size):
+                part = data[base : base + size]
                 refs = approximate_references(part, sampling) if sampling else references(part, min_ref_len)
                 parse_window(out, part, sketch, refs, suffixes)
                 out.window += 1
-        return out.batch()
+            sizes += [nodes] * out.seq
+        found = out.batch()
+        return pa.RecordBatch.from_arrays([*found.columns, pa.array(sizes, pa.int64())], [*found.schema.names, k]) if carried else found
 
-    return map_rows(streams.select("stream_id", "bytes"), work, SCHEMA)
+    return map_rows(streams.select("stream_id", "bytes", *own), work, SCHEMA + "".join(f", `{name}` long" for _, name in carried))
 
 
-def topk_lz77_decode(phrases: DataFrame, k: int = 1 << 20, max_freq: int = 1 << 10, suffixes: int = 1) -> DataFrame:
-    """(stream_id, bytes), replaying the sketch with the parser's parameters."""
+def topk_lz77_decode(phrases: DataFrame, k: int | str = 1 << 20, max_freq: int = 1 << 10, suffixes: int = 1) -> DataFrame:
+    """(stream_id, bytes), replaying the sketch with the parser's parameters; k may name a column of ``phrases``."""
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        out, sketch = bytearray(), _sketch(k, max_freq)
+        out, sketch = bytearray(), _sketch(table.column(k)[0].as_py() if isinstance(k, str) else k, max_freq)
         columns = (numbers(table, c).tolist() for c in ("len", "dist", "node", "literal"))
         for length, dist, node, literal in zip(*columns, strict=True):
             if literal >= 0:
@@ -81,4 +89,5 @@ def topk_lz77_decode(phrases: DataFrame, k: int = 1 << 20, max_freq: int = 1 <<
                     sketch.enter(phrase, x, length)
         return decoded(table.column("stream_id")[0].as_py(), out)
 
-    return map_groups(phrases.select("stream_id", "seq", "len", "dist", "node", "literal"), "stream_id", ["seq"], work, DECODED)
+    needed = phrases.select("stream_id", "seq", "len", "dist", "node", "literal", *([k] if isinstance(k, str) else []))
+    return map_groups(needed, "stream_id", ["seq"], work, DECODED)

@@ -31,7 +31,7 @@ def _starts(texts: DataFrame, length: int, width: int) -> DataFrame:
     """One row for each substring of so many letters of ``t``; shorter texts have none."""
     n = (F.octet_length("t") / width).cast("int") - length + 1
     rows = texts.where(n > 0).withColumn("_at", F.explode(F.sequence(F.lit(0), n - 1)))
-    return rows.withColumn("sub", F.col("t").substr(F.col("_at") * width + 1, F.lit(length * width))).drop("_at")
+    return rows.withColumn("sub", F.col("t").substr(F.col("_at") * width + 1, F.lit(length * width)))
 
 
 def ngrams(streams: DataFrame, longest: int, shortest: int = 1, unit: str = "byte") -> DataFrame:
@@ -40,7 +40,7 @@ def ngrams(streams: DataFrame, longest: int, shortest: int = 1, unit: str = "byt
     Each length is one explode over the text, so no intermediate list of substrings is built.
     """
     wide = streams.withColumn("t", _wide(F.col("bytes"), unit)).drop("bytes")
-    parts = (_starts(wide, n, _WIDTH[unit]).drop("t").withColumn("len", F.lit(n)) for n in range(shortest, longest + 1))
+    parts = (_starts(wide, n, _WIDTH[unit]).drop("t", "_at").withColumn("len", F.lit(n)) for n in range(shortest, longest + 1))
     return reduce(DataFrame.union, parts).withColumn("sub", _text(F.col("sub"), unit))
 
 
@@ -52,26 +52,30 @@ def _top(counted: DataFrame, k: int, by: list[str]) -> DataFrame:
     return counted.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
 
 
-def topk_substrings(streams: DataFrame, k: int, longest: int | None = None, unit: str = "byte", by: tuple[str, ...] = ()) -> DataFrame:
+def topk_substrings(streams: DataFrame, k: int, longest: int | None = None, unit: str = "byte", by: tuple[str, ...] = (), occurrence: bool = False) -> DataFrame:
     """(by..., sub, len, freq): the k most frequent substrings, of all rows or of each group, in bytes or characters.
 
     streams: bytes and the columns of ``by``. Level n counts substrings whose first n - 1 characters are frequent enough:
     a substring is never more frequent than its beginnings. The loop ends when no longer substring can enter the result.
-    Only the frequent beginnings are kept between levels; texts are read again and never shuffled. In byte units ``sub``
-    holds one character from 0 to 255 for each byte.
+    Only the frequent beginnings are kept between levels; texts are read again and never shuffled, at most k + 1 times,
+    because all beginnings of a substring in the result are in it too. In byte units ``sub`` holds one character from 0
+    to 255 for each byte. With ``occurrence`` there is also the first place, ``first``: the least (stream_id, pos).
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
     keys = list(by)
-    texts = streams.where(F.col("bytes").isNotNull()).select(*keys, _wide(F.col("bytes"), unit).alias("t"))
+    places = ["stream_id"] if occurrence else []
+    texts = streams.where(F.col("bytes").isNotNull()).select(*keys, *places, _wide(F.col("bytes"), unit).alias("t"))
+    counts = [F.count("*").alias("freq")] + ([F.min(F.struct("stream_id", F.col("_at").cast("long").alias("pos"))).alias("first")] if occurrence else [])
+    columns = ["sub", "len", "freq", *(["first"] if occurrence else [])]
     width = _WIDTH[unit]
     best, kept, n, used = None, None, 1, []
     while longest is None or n <= longest:
         rows = _starts(texts, n, width)
         if kept is not None:
             rows = join_small(rows.withColumn("head", F.col("sub").substr(F.lit(1), F.lit((n - 1) * width))), kept, [*keys, "head"], "left_semi")
-        level = rows.groupBy(*keys, "sub").agg(F.count("*").alias("freq")).withColumn("len", F.lit(n))
-        level = cut(level.select(*keys, "sub", "len", "freq"))
+        level = rows.groupBy(*keys, "sub").agg(*counts).withColumn("len", F.lit(n))
+        level = cut(level.select(*keys, *columns))
         if level.isEmpty():
             used.append(level)
             break
@@ -88,7 +92,7 @@ def topk_substrings(streams: DataFrame, k: int, longest: int | None = None, unit
         n += 1
     discard(*(t for t in used if t is not best))
     if best is None:
-        best = _starts(texts, 1, width).groupBy(*keys, "sub").agg(F.count("*").alias("freq")).select(*keys, "sub", F.lit(1).alias("len"), "freq").limit(0)
+        best = _starts(texts, 1, width).groupBy(*keys, "sub").agg(*counts).withColumn("len", F.lit(1)).select(*keys, *columns).limit(0)
     return best.withColumn("sub", _text(F.col("sub"), unit))
 
 
@@ -97,6 +101,11 @@ def with_fingerprint(table: DataFrame, unit: str = "byte") -> DataFrame:
     return table.withColumn("fp", fingerprint(F.encode(F.col("sub"), "ISO-8859-1" if unit == "byte" else "UTF-8")))
 
 
+def by_fingerprint(table: DataFrame) -> DataFrame:
+    """The table in order of fingerprint, then length."""
+    return table.orderBy("fp", "len")
+
+
 def length_histogram(table: DataFrame) -> DataFrame:
     return table.groupBy("len").agg(F.count("*").alias("substrings"), F.sum("freq").alias("occurrences"))
 

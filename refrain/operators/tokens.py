@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from refrain.arrowio import map_rows
 from refrain.functions.scalar import bit_width
 
 #: Token types.
@@ -101,6 +104,19 @@ def entropy(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     return out.select(*by, "n", "symbols", F.round(F.col("n") * F.log2("n") - F.col("s"), 6).alias("entropy_bits"))
 
 
+def byte_counts(streams: DataFrame) -> DataFrame:
+    """(byte, n) over all ``bytes``: counted where the rows lie, so that no more than 256 numbers leave a batch."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.zeros(256, np.int64)
+        for data in batch.column("bytes").to_pylist():
+            n += np.bincount(np.frombuffer(data or b"", np.uint8), minlength=256)
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["byte", "n"])
+
+    return map_rows(streams.select("bytes"), work, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
 def cost_rollup(costs: DataFrame) -> DataFrame:
     """(type, n, header_bits, data_bits) of each type, and of all with a null type."""
     return costs.rollup("type").agg(F.sum("n").alias("n"), F.sum("header_bits").alias("header_bits"), F.sum("data_bits").alias("data_bits"))

@@ -6,6 +6,7 @@ everything else. What it leaves is parsed by the hybrid parser. The phrases carr
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 
 from refrain.arrowio import map_rows
 from refrain.functions.scalar import unvarint, varint
+from refrain.operators.blockcodec import encode_blocks
 from refrain.operators.chunks import approximate_references
 from refrain.operators.hybrid import topk_lz77_decode, topk_lz77_parse
 from refrain.operators.lz78 import topk_lz78_decode, topk_lz78_parse
 from refrain.operators.metrics import hybrid_metrics, lz78_metrics
 from refrain.operators.phrases import copy
-from refrain.plans.planner import Ratios, plan, prepass
+from refrain.operators.tokens import tokens
+from refrain.plans.planner import COUNTER_CAP, TOKEN_BLOCK, Ratios, plan, prepass
 
 
 def prepass_encode(streams: DataFrame, sampling: int) -> DataFrame:
@@ -63,8 +66,8 @@ def prepass_decode(streams: DataFrame) -> DataFrame:
 class TopkLZ77:
     """The hybrid codec with its parameters."""
 
-    k: int = 1 << 20
-    window: int = 1 << 20
+    k: int | str = 1 << 20  # a name: that column of the streams
+    window: int | str = 1 << 20
     max_freq: int = 1 << 10
     sampling: int = 4
     suffixes: int = 1
@@ -98,13 +101,24 @@ class TopkLZ78:
 
 @dataclass(frozen=True)
 class Compressed:
-    phrases: DataFrame  # with prepass
+    phrases: DataFrame  # with prepass, and the planned k of their stream
+    plans: DataFrame  # of each stream: stream_id, n, memory limit, k, window
     codec: TopkLZ77
     prepass: dict
 
     def report(self) -> DataFrame:
-        """One row: streams, z, bytes parsed, longest phrase."""
-        return self.phrases.agg(F.countDistinct("stream_id").alias("streams"), F.count("*").alias("z"), F.sum("len").alias("n"), F.max("len").alias("longest"))
+        """One row: streams, n (bytes given), z, longest phrase, nout (bytes as coded blocks), percent of n, limit (most memory planned for a stream), prepass, seconds.
+
+        The phrases are made and coded for it; seconds is the wall time that took.
+        """
+        began = time.perf_counter()
+        coded = encode_blocks(tokens(self.phrases, TOKEN_BLOCK, split_long=True, hybrid=True)).agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("nout"))
+        parsed = self.phrases.agg(F.countDistinct("stream_id").alias("streams"), F.count("*").alias("z"), F.max("len").alias("longest"))
+        given = self.plans.agg(F.coalesce(F.sum("given"), F.lit(0)).alias("n"), F.max("plan_memory").alias("limit"))
+        row = parsed.crossJoin(F.broadcast(coded)).crossJoin(F.broadcast(given)).first()  # a row each
+        values = {"streams": row["streams"], "n": row["n"], "z": row["z"], "longest": row["longest"], "nout": row["nout"], "percent": round(100 * row["nout"] / row["n"], 2) if row["n"] else None, "limit": row["limit"], "prepass": bool(self.prepass["accepted"]), "seconds": round(time.perf_counter() - began, 3)}
+        schema = "streams long, n long, z long, longest long, nout long, percent double, limit long, prepass boolean, seconds double"
+        return self.phrases.sparkSession.createDataFrame([tuple(values.values())], schema)
 
     def decompress(self) -> DataFrame:
         out = self.codec.decompress(self.phrases.drop("prepass"))
@@ -112,10 +126,13 @@ class Compressed:
 
 
 def compress(streams: DataFrame, memory: int = 0, ratios: Ratios = Ratios(), fast: bool = False, precompress: bool = True) -> Compressed:
-    """Plan by the largest stream and ``memory`` (its size if 0), try a pre-pass, parse. No bytes: no phrases."""
-    largest, total = streams.agg(F.coalesce(F.max(F.octet_length("bytes")), F.lit(0)), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()
+    """Try a pre-pass over all streams, plan each stream by its size and ``memory`` (its size if 0), parse. No bytes: no phrases."""
+    total = streams.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     decided = prepass(streams, total, memory or total, ratios) if precompress else {"accepted": False, "sampling": 0, "parsing": 0, "card": 0, "retried": False}
-    given = prepass_encode(streams, decided["sampling"]) if decided["accepted"] else streams
-    row = plan(streams.sparkSession.createDataFrame([(int(largest), int(memory))], "n long, memory long"), ratios=ratios, fast=fast).first()
-    codec = TopkLZ77(max(3, row["k"] or 0), max(1, row["window"] or 0), row["max_freq"], row["parse_sampling"], row["suffixes"])
-    return Compressed(codec.compress(given).withColumn("prepass", F.lit(decided["accepted"])), codec, decided)
+    given = prepass_encode(streams, decided["sampling"]) if decided["accepted"] else streams.select("stream_id", "bytes")
+    size = F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("long")
+    planned = plan(given.select("stream_id", "bytes", size.alias("n"), F.lit(int(memory)).alias("memory")), ratios=ratios, fast=fast)
+    codec = TopkLZ77("k", "window", COUNTER_CAP, 4 if fast else 0, 1)
+    phrases = codec.compress(planned.select("stream_id", "bytes", "k", "window")).withColumn("prepass", F.lit(decided["accepted"]))
+    sizes = plan(streams.select("stream_id", size.alias("given"), size.alias("n"), F.lit(int(memory)).alias("memory")), ratios=ratios, fast=fast)
+    return Compressed(phrases, sizes, codec, decided)

@@ -61,7 +61,8 @@ def topk_substrings_by_lang(spark, sf_dir):
 
 def topk_substrings_unbounded(spark, sf_dir):
     streams = sources.corpus(_table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return substrings.topk_substrings(streams, 200, unit="char").select("sub", F.col("len").cast("long").alias("len"), "freq")
+    found = substrings.topk_substrings(streams, 200, unit="char", occurrence=True)
+    return found.select("sub", F.col("len").cast("long").alias("len"), "freq", F.col("first.stream_id").alias("first_item"), F.col("first.pos").alias("first_pos"))
 
 
 def substring_len_histogram(spark, sf_dir):
@@ -185,6 +186,19 @@ def lpf_relational(spark, sf_dir):
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "len")
 
 
+def lz77_token_costs(spark, sf_dir):
+    """Tokens of window-wise LZ77 phrases, long lengths escaped, by type."""
+    rows = tokens.tokens(lz77.lz77_parse(_documents(spark, sf_dir), window=WINDOW), split_long=True)
+    return rows.groupBy(F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("max"))
+
+
+def hybrid_token_costs(spark, sf_dir):
+    """Binary costs of the hybrid parse's tokens, by type, with totals."""
+    rows = tokens.tokens(hybrid.topk_lz77_parse(_documents(spark, sf_dir), K, WINDOW, CAP, sampling=0), split_long=True, hybrid=True)
+    out = tokens.cost_rollup(tokens.binary_costs(rows))
+    return out.select(F.coalesce(F.col("type").cast("int"), F.lit(-1)).alias("type"), "n", "header_bits", "data_bits")
+
+
 def _lz78_tokens(spark, sf_dir):
     return tokens.tokens(lz78.lz78_parse(_benchmark(spark, sf_dir)), block=64)
 
@@ -242,9 +256,7 @@ def literal_entropy(spark, sf_dir):
 
 
 def byte_histogram(spark, sf_dir):
-    letter = F.explode(F.split(F.col("t"), "")).alias("c")
-    rows = _table(spark, sf_dir, "documents").select(sources.letters(F.encode("text", "UTF-8")).alias("t")).select(letter).where("c <> ''")
-    return tokens.histogram(rows, "c").select(F.ascii("c").cast("int").alias("byte"), "n")
+    return tokens.byte_counts(sources.corpus(_table(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
 def varint_sizes(spark, sf_dir):
@@ -261,6 +273,10 @@ def memory_plan(spark, sf_dir):
     return planner.plan(rows).select("doc_id", "plan_memory", "prepass_block", "sampling", "prepass", "k", "window")
 
 
+def chunk_cardinality_exact(spark, sf_dir):
+    return chunks.cardinality_gate(_documents(spark, sf_dir), SAMPLING, exact=True).withColumn("ratio", F.round("ratio", 6))
+
+
 def chunk_cardinality_gate(spark, sf_dir):
     return chunks.cardinality_gate(_documents(spark, sf_dir), SAMPLING).withColumn("ratio", F.round("ratio", 6))
 
@@ -320,7 +336,7 @@ QUERIES = {f.__name__: f for f in (
     topk_substrings_global, topk_substrings_by_lang, topk_substrings_unbounded, substring_len_histogram, topk_fingerprints, frequencies_csv, topk_overlap_score, approx_topk_bounds, approx_topk_by_item, approx_topk_merged, topk_lz78_phrases, age_lz78_phrases,
     lz78_roundtrip, topk_lz78_roundtrip, lz78_age_roundtrip, lz77_roundtrip, lz77_blockwise_roundtrip, topk_lz77_roundtrip, topk_lz77_sampled_roundtrip, topk_lz77_len_check, hybrid_phrase_stats,
     lz78_phrase_stats, lz77_phrase_stats, lpf_relational, token_block_ranges, token_cost_rollup, token_blocks_roundtrip, token_header_bits, token_huffman_costs, compress_roundtrip, prepass_roundtrip, suffix_order, sketch_state, literal_entropy, byte_histogram, varint_sizes, lz78_ref_bits, memory_plan,
-    chunk_cardinality_gate, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
+    chunk_cardinality_gate, chunk_cardinality_exact, lz77_token_costs, hybrid_token_costs, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
 )}
 
 
@@ -418,7 +434,8 @@ ORACLES = {
     "topk_substrings_global": _global(),
     "topk_substrings_by_lang": f"""SELECT lang, sub, len, freq, {_fp('sub')} AS fp FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, len, sub) AS r
       FROM (SELECT lang, sub, len, count(*) AS freq FROM {_grams('documents', 4, 'lang,')} GROUP BY lang, sub, len)) WHERE r <= 10""",
-    "topk_substrings_unbounded": f"SELECT sub, len, count(*) AS freq FROM {_grams('benchmark', 24)} GROUP BY sub, len ORDER BY freq DESC, len, sub LIMIT 200",
+    "topk_substrings_unbounded": f"""SELECT sub, len, freq, f.item AS first_item, f.pos AS first_pos FROM (SELECT sub, len, count(*) AS freq, min({{'item': item_id, 'pos': i - 1}}) AS f FROM {_grams('benchmark', 24, 'item_id, i,')}
+      GROUP BY sub, len ORDER BY freq DESC, len, sub LIMIT 200)""",
     "substring_len_histogram": f"SELECT len, count(*) AS substrings, sum(freq)::BIGINT AS occurrences FROM ({_global()}) GROUP BY len",
     "topk_fingerprints": f"SELECT {_fp('sub')} AS fp, len, freq FROM ({_global()})",
     "frequencies_csv": f"SELECT {_fp('sub')} AS fp, len, freq FROM ({_global()})",
@@ -450,6 +467,15 @@ ORACLES = {
       r AS (SELECT item_id, pos, suffix, row_number() OVER w - 1 AS rank, lag(suffix) OVER w AS before FROM s WINDOW w AS (PARTITION BY item_id ORDER BY suffix)),
       c AS (SELECT item_id, pos, rank, coalesce(len(list_filter(range(1, least(length(suffix), length(before)) + 1), lambda n: substr(suffix, 1, n) = substr(before, 1, n))), 0) AS lcp FROM r)
       SELECT item_id, count(*) AS n, sum(lcp)::BIGINT AS lcp, sum(rank * pos)::BIGINT AS "order" FROM c GROUP BY item_id""",
+    "token_huffman_costs": _TOKENS
+    + """, v AS (SELECT item_id, block_id, value, count(*) AS c FROM t WHERE type = 2 GROUP BY ALL), e AS (SELECT item_id, block_id, sum(c)::BIGINT AS n, count(*) AS symbols, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS entropy_bits, list_sort(list(c)) AS ws FROM v GROUP BY item_id, block_id),
+      m AS (SELECT item_id, block_id, ws, CASE WHEN len(ws) = 1 THEN n ELSE 0 END AS bits FROM e UNION ALL SELECT item_id, block_id, list_sort(list_append(ws[3:], ws[1] + ws[2])), bits + ws[1] + ws[2] FROM m WHERE len(ws) > 1)
+      SELECT item_id, block_id, n, symbols, max(bits)::BIGINT AS data_bits, entropy_bits FROM e JOIN m USING (item_id, block_id) GROUP BY ALL""",
+    "chunk_cardinality_exact": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''), w AS (SELECT doc_id, i + {chunks.SPAN} AS cut_at, substr(h, (2 * i + 1)::BIGINT, {2 * chunks.SPAN}) AS x FROM (SELECT *, unnest(range(0, length(h) // 2 - {chunks.SPAN - 1})) AS i FROM d)),
+      q AS (SELECT doc_id, cut_at, (({" + ".join(f"(('0x' || substr(x, {2 * j + 1}, 2))::UHUGEINT + 1) * {int(f)}::UHUGEINT" for j, f in enumerate(chunks._FACTORS))}) % 18446744073709551616::UHUGEINT)::UBIGINT AS q FROM w),
+      c AS (SELECT doc_id, cut_at FROM q WHERE ((xor(q, q >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT >> {64 - SAMPLING} = 0 UNION SELECT doc_id, length(h) // 2 AS cut_at FROM d),
+      k AS (SELECT doc_id, lag(cut_at, 1, 0) OVER (PARTITION BY doc_id ORDER BY cut_at) AS lo, cut_at AS hi FROM c), n AS (SELECT count(*) AS parsing, count(DISTINCT substr(h, 2 * lo + 1, 2 * (hi - lo))) AS card FROM k JOIN d USING (doc_id))
+      SELECT parsing, card, round(card / parsing::DOUBLE, 6) AS ratio, card / parsing::DOUBLE <= 0.3 AS accepted FROM n""",
     "literal_entropy": _LZ78
     + """, c AS (SELECT item_id, lit, count(*) AS c FROM p WHERE lit IS NOT NULL GROUP BY item_id, lit)
       SELECT item_id, sum(c)::BIGINT AS n, count(*) AS symbols, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS entropy_bits FROM c GROUP BY item_id""",

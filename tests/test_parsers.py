@@ -178,3 +178,128 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted((r["seq"], r["node"], r["literal"], r["len"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     batch = lz78.topk_lz78_parse(spark.createDataFrame([(7, data)], "stream_id long, bytes binary"), 30, 16)
     assert got == sorted((r["seq"], r["node"], r["literal"], r["len"]) for r in batch.collect())
+
+
+class PlainFrequent:
+    """The frequency-bounded dictionary from its definition, nothing clever: every choice looks at all entries."""
+
+    def __init__(self, nodes, max_freq):
+        self.k, self.cap, self.threshold, self.clock = nodes - 1, max_freq - 1, 0, 0
+        self.entries = {}  # string -> [published number, counter, when it was last linked as a leaf]
+
+    def _leaf(self, s):
+        return not any(len(t) == len(s) + 1 and t.startswith(s) for t in self.entries)
+
+    def step(self, s, c):
+        """Whether s + c was known; it is counted, or entered if there is room."""
+        t, self.clock = s + c, self.clock + 1
+        if t in self.entries:
+            entry = self.entries[t]
+            f = max(entry[1], self.threshold)
+            if f < self.cap:
+                entry[1:] = [f + 1, self.clock]
+            return True
+        if len(self.entries) < self.k:
+            self.entries[t] = [self.k - len(self.entries), self.threshold + 1, self.clock]
+            return False
+        free = [x for x, (_, f, _) in self.entries.items() if max(f, self.threshold) == self.threshold and self._leaf(x)]
+        if free:
+            gone = max(free, key=lambda x: self.entries[x][2])
+            number, f, _ = self.entries.pop(gone)
+            if gone[:-1] in self.entries and self._leaf(gone[:-1]):
+                self.entries[gone[:-1]][2] = self.clock
+            self.entries[t] = [number, max(f, self.threshold) + 1, self.clock + 0.5]
+        else:
+            self.threshold += 1
+            if self.threshold >= self.cap // 2:
+                for entry in self.entries.values():
+                    entry[1] = max(entry[1], self.threshold) - self.threshold
+                self.threshold = 0
+        return False
+
+    def number(self, s):
+        return self.entries[s][0] if s else 0
+
+    def longest(self, data, at):
+        n = 0
+        while at + n < len(data) and data[at : at + n + 1] in self.entries:
+            n += 1
+        return n
+
+    def enter(self, phrase):
+        for i in range(len(phrase)):
+            if not self.step(phrase[:i], phrase[i : i + 1]):
+                break
+
+
+class PlainAged(PlainFrequent):
+    """The age-bounded one: entries stand in the order of their adding."""
+
+    def step(self, s, c):
+        t = s + c
+        if t in self.entries:
+            return True
+        if len(self.entries) < self.k:
+            self.entries[t] = [len(self.entries) + 1]
+        else:
+            gone = next((x for x in self.entries if x != s and self._leaf(x)), None)
+            if gone is not None:
+                self.entries[t] = self.entries.pop(gone)
+        return False
+
+
+def plain_lz78(data, dictionary):
+    out, s, number = [], b"", 0
+    for i in range(len(data)):
+        c = data[i : i + 1]
+        if dictionary.step(s, c):
+            s += c
+            number = dictionary.number(s)
+        else:
+            out.append((number, c[0], len(s) + 1))
+            s, number = b"", 0
+    return out + ([(number, -1, len(s))] if s else [])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abc", max_size=250), st.integers(1, 12), st.sampled_from([5, 6, 9, 30]))
+def test_bounded_parses_against_plain_ones(text, k, cap):
+    data = text.encode()
+    assert phrases(data, FrequentPrefixes(k + 1, cap)) == plain_lz78(data, PlainFrequent(k + 1, cap))
+    assert phrases(data, RecentPrefixes(k + 1)) == plain_lz78(data, PlainAged(k + 1, 5))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab", max_size=250), st.integers(3, 14), st.sampled_from([5, 8, 40]), st.integers(4, 300), st.integers(1, 3))
+def test_hybrid_against_a_plain_one(text, k, cap, window, suffixes):
+    """At each place the longest entry of the plain dictionary against what is left of the exact reference there."""
+    data, out = text.encode(), Phrases()
+    sketch, plain, want = hybrid._sketch(k, cap), PlainFrequent(k - 1, cap), []
+    for base in range(0, len(data), window):
+        part = data[base : base + window]
+        refs = references(part)
+        hybrid.parse_window(out, part, sketch, refs, suffixes)
+        at = 0
+        while at < len(part):
+            known = plain.longest(part, at)
+            left, dist = next(((pos + n - at, d) for pos, d, n in refs if pos <= at < pos + n), (0, 0))
+            if known and known >= left:
+                want.append((3, known, -1, plain.number(part[at : at + known]), -1))
+                at += known
+            elif left > 1:
+                want.append((1, left, dist, -1, -1))
+                for x in range(min(left, suffixes)):
+                    plain.enter(part[at + x : at + left])
+                at += left
+            else:
+                want.append((0, 1, -1, -1, part[at]))
+                at += 1
+    c = out.columns
+    assert list(zip(*(c[i].tolist() for i in (3, 5, 6, 7, 8)), strict=True)) == want
+
+
+def test_dictionaries_take_memory_by_use():
+    for one in (FrequentPrefixes(1 << 23, 1024), RecentPrefixes(1 << 23)):
+        out = Phrases()
+        parse_into(out, b"abracadabra", one)
+        assert len(one.parent) < 20 and len(out.columns[0]) == 7

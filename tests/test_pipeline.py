@@ -51,11 +51,23 @@ def test_compress(spark, precompress):
     frame = spark.createDataFrame(list(data.items()), "stream_id long, bytes binary")
     done = compress(frame, 20_000, precompress=precompress)
     assert {r["stream_id"]: bytes(r["bytes"]) for r in done.decompress().collect()} == data
-    assert done.report().first()["streams"] == 3
+    row = done.report().first()
+    n = sum(map(len, data.values()))
+    assert (row["streams"], row["n"], row["limit"]) == (3, n, 20_000) and 0 < row["nout"] < n and row["percent"] == round(100 * row["nout"] / n, 2) and row["seconds"] > 0
     assert precompress or not done.prepass["accepted"]
     assert compress(frame.limit(0)).phrases.count() == 0
 
 
+def test_every_stream_has_its_own_plan(spark):
+    data = {1: b"some text that comes again, " * 300, 2: b"short"}
+    frame = spark.createDataFrame(list(data.items()), "stream_id long, bytes binary")
+    done = compress(frame, precompress=False)
+    plans = {r["stream_id"]: r for r in done.plans.collect()}
+    assert plans[1]["k"] > plans[2]["k"] and plans[1]["window"] > plans[2]["window"] and plans[2]["plan_memory"] == 5
+    assert {r["stream_id"]: r["k"] for r in done.phrases.select("stream_id", "k").distinct().collect()} == {i: max(3, r["k"]) for i, r in plans.items()}
+    assert {r["stream_id"]: bytes(r["bytes"]) for r in done.decompress().collect()} == data
+
+
 def test_codec_object(spark):
     frame = spark.createDataFrame([(1, b"abab")], "stream_id long, bytes binary")
     codec = TopkLZ78(2, 16)
@@ -86,4 +98,7 @@ def test_command_line(spark, tmp_path):
     row = run(spark, ["compare", exact, approx]).first()
     assert 0 < row["score"] <= 1 and row["k"] <= 30
     assert run(spark, ["compress", path, "-m", "1Ki"]).first()["z"] > 0
+    run(spark, ["lz77", path, "-w", "64", "-o"])
+    assert bytes(run(spark, ["lz77", path + ".lz77block", "-d", "-w", "64", "-o"]).first()["bytes"]) == data
+    assert (tmp_path / "x.txt.lz77block.dec").is_dir()
     assert run(spark, ["lz78", path, "-p", "5"]).first()["z"] == 4

@@ -202,3 +202,24 @@ def test_gate(spark):
     rows = spark.createDataFrame([(1, b""), (2, None)], "stream_id long, bytes binary")
     row = chunks.cardinality_gate(rows, 4, exact=True).first()
     assert (row["parsing"], row["ratio"], row["accepted"]) == (0, None, False)
+
+
+def test_first_occurrences(spark):
+    rows = [(7, b"banana"), (3, b"nan"), (9, None), (5, b"")]
+    got = substrings.topk_substrings(spark.createDataFrame(rows, "stream_id long, bytes binary"), 8, occurrence=True).collect()
+    for r in got:
+        places = [(i, d.index(r["sub"].encode())) for i, d in rows if d and r["sub"].encode() in d]
+        assert tuple(r["first"]) == min(places)
+    assert len(got) == 8
+
+
+def test_merged_sketch_does_not_depend_on_partitions(spark):
+    rows = [(i, f"text {i % 7} and {i % 3} more".encode()) for i in range(60)]
+    frame = spark.createDataFrame(rows, "stream_id long, bytes binary")
+    one, many = (sorted(map(tuple, substrings.approx_topk_substrings(f, 20, 16, mode="merged").collect())) for f in (frame.coalesce(1), frame.repartition(9)))
+    assert one == many and len(one) > 0
+
+
+def test_byte_counts(spark):
+    frame = spark.createDataFrame([(1, b"aab"), (2, None), (3, b"\xff")], "stream_id long, bytes binary")
+    assert sorted(map(tuple, tokens.byte_counts(frame).collect())) == [(97, 2), (98, 1), (255, 1)]
