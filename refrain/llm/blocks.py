@@ -35,6 +35,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def compare_in_blocks(items: DataFrame, groups: DataFrame, similar: Callable[[list, list], np.ndarray]) -> DataFrame:
     """(item, links, root) for the items of each group, one row for each unit in which the item has a link.
 
+    A task holds two blocks: payloads, and a matrix of their products. A single payload, however large, is held whole.
     items: g long, item long, weight long, payload binary. groups, made by ``cut``: g long, blocks int.
     ``similar`` gets the payloads of both sides and returns a matrix of booleans. ``links`` sums the weights of linked
     items; ``root`` is an item linked with this one in the same unit, possibly over others. An item that comes twice counts once.

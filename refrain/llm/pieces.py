@@ -25,8 +25,8 @@ from refrain.llm.arrowtext import map_texts
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 MARK, PENALTY = "▁", 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Different words whose pieces a worker remembers between batches.
-REMEMBERED = 150_000
+#: Different words whose pieces a worker remembers between batches, and letters up to which a word is remembered.
+REMEMBERED, LETTERS = 150_000, 64
 
 
 def _fields(data: bytes):
@@ -142,14 +142,18 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
-        """Ids of each text as int32 bytes. An empty text has none. ``known`` remembers words from call to call."""
+        """Ids of each text as int32 bytes. An empty text has none. ``known`` remembers words from call to call, long ones excepted."""
         known = {} if known is None else known
         if len(known) > REMEMBERED:
             known.clear()
         cut = [self.words.findall(" " + t if self.dummy_prefix else t) if t else [] for t in texts]
-        new = set().union(*cut).difference(known)
-        known.update(self.segment(list(new)))
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        found = self.segment(list(set().union(*cut).difference(known)))
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for word in found:
+            if len(word) > LETTERS:
+                del known[word]
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: the exact inverse of ``encode`` with byte pieces."""

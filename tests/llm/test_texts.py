@@ -170,6 +170,13 @@ def test_pieces_round_trip(text):
     assert vocabulary.decode(vocabulary.encode([text])[0]) == text
 
 
+def test_long_words_are_not_remembered(model):
+    vocabulary, known = pieces.read_model(model), {}
+    long = "x" * 5000
+    first = vocabulary.encode([f"a {long} b", long], known)
+    assert first == vocabulary.encode([f"a {long} b", long]) and known and max(map(len, known)) <= pieces.LETTERS
+
+
 def test_pieces_of_odd_rows(odd, none, model):
     out = pieces.encode(odd, model)
     back = pieces.decode(out.drop("text"), model).select("doc_id", "text")
