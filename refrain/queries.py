@@ -46,7 +46,7 @@ def _as_documents(decoded: DataFrame) -> DataFrame:
 
 def _top(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
     streams = sources.corpus(_table(spark, sf_dir, "conversations").where(where), "conv_id", "text")
-    return substrings.topk_substrings(streams, 50, longest=8, unit="char")
+    return substrings.topk_substrings(streams, 50, unit="char")
 
 
 def topk_substrings_global(spark, sf_dir):
@@ -55,7 +55,7 @@ def topk_substrings_global(spark, sf_dir):
 
 def topk_substrings_by_lang(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("lang", F.encode("text", "UTF-8").alias("bytes"))
-    top = substrings.topk_substrings(docs, 10, longest=4, unit="char", by=("lang",))
+    top = substrings.topk_substrings(docs, 10, unit="char", by=("lang",))
     return substrings.with_fingerprint(top, "char").select("lang", "sub", F.col("len").cast("long").alias("len"), "freq", "fp")
 
 
@@ -304,7 +304,7 @@ def prefix_scan(spark, sf_dir):
 def dictionary_prefix_match(spark, sf_dir):
     """The longest of the 200 most frequent substrings that starts at each position of each benchmark text."""
     texts = _table(spark, sf_dir, "benchmark")
-    top = substrings.topk_substrings(sources.corpus(texts, "item_id", "text"), 200, longest=6, unit="char")
+    top = substrings.topk_substrings(sources.corpus(texts, "item_id", "text"), 200, unit="char")
     out = substrings.longest_prefix_matches(texts.withColumnRenamed("text", "t"), top.withColumn("node", F.col("freq")), "item_id")
     return out.groupBy("item_id", F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("n"), F.sum("node").alias("weight"))
 
