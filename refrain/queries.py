@@ -471,15 +471,18 @@ ORACLES = {
     + """, v AS (SELECT item_id, block_id, value, count(*) AS c FROM t WHERE type = 2 GROUP BY ALL), e AS (SELECT item_id, block_id, sum(c)::BIGINT AS n, count(*) AS symbols, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS entropy_bits, list_sort(list(c)) AS ws FROM v GROUP BY item_id, block_id),
       m AS (SELECT item_id, block_id, ws, CASE WHEN len(ws) = 1 THEN n ELSE 0 END AS bits FROM e UNION ALL SELECT item_id, block_id, list_sort(list_append(ws[3:], ws[1] + ws[2])), bits + ws[1] + ws[2] FROM m WHERE len(ws) > 1)
       SELECT item_id, block_id, n, symbols, max(bits)::BIGINT AS data_bits, entropy_bits FROM e JOIN m USING (item_id, block_id) GROUP BY ALL""",
-    "chunk_cardinality_exact": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''), w AS (SELECT doc_id, i + {chunks.SPAN} AS cut_at, substr(h, (2 * i + 1)::BIGINT, {2 * chunks.SPAN}) AS x FROM (SELECT *, unnest(range(0, length(h) // 2 - {chunks.SPAN - 1})) AS i FROM d)),
-      q AS (SELECT doc_id, cut_at, (({" + ".join(f"(('0x' || substr(x, {2 * j + 1}, 2))::UHUGEINT + 1) * {int(f)}::UHUGEINT" for j, f in enumerate(chunks._FACTORS))}) % 18446744073709551616::UHUGEINT)::UBIGINT AS q FROM w),
-      c AS (SELECT doc_id, cut_at FROM q WHERE ((xor(q, q >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT >> {64 - SAMPLING} = 0 UNION SELECT doc_id, length(h) // 2 AS cut_at FROM d),
+    "chunk_cardinality_exact": f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''), g AS (SELECT doc_id, g, substr(h, (256 * g + 1)::BIGINT, {256 + 2 * chunks.SPAN - 2}) AS p FROM (SELECT *, unnest(range(0, length(h) // 256 + 1)) AS g FROM d)),
+      w AS (SELECT doc_id, 128 * g + i + {chunks.SPAN} AS cut_at, substr(p, (2 * i + 1)::BIGINT, {2 * chunks.SPAN}) AS x FROM (SELECT *, unnest(range(0, least(128, length(p) // 2 - {chunks.SPAN - 1}))) AS i FROM g)),
+      v AS (SELECT doc_id, cut_at, ('0x' || substr(x, 1, 10))::UBIGINT AS a, ('0x' || substr(x, 11, 10))::UBIGINT AS b FROM w),
+      q AS (SELECT doc_id, cut_at, (({" + ".join(f"((({'ab'[j // 5]} >> {32 - 8 * (j % 5)}) & 255) + 1)::UHUGEINT * {int(f)}::UHUGEINT" for j, f in enumerate(chunks._FACTORS))}) & 18446744073709551615::UHUGEINT)::UBIGINT AS q FROM v),
+      c AS (SELECT doc_id, cut_at FROM q WHERE ((xor(q, q >> 29)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT) & 18446744073709551615::UHUGEINT)::UBIGINT >> {64 - SAMPLING} = 0 UNION SELECT doc_id, length(h) // 2 AS cut_at FROM d),
       k AS (SELECT doc_id, lag(cut_at, 1, 0) OVER (PARTITION BY doc_id ORDER BY cut_at) AS lo, cut_at AS hi FROM c), n AS (SELECT count(*) AS parsing, count(DISTINCT substr(h, 2 * lo + 1, 2 * (hi - lo))) AS card FROM k JOIN d USING (doc_id))
       SELECT parsing, card, round(card / parsing::DOUBLE, 6) AS ratio, card / parsing::DOUBLE <= 0.3 AS accepted FROM n""",
     "literal_entropy": _LZ78
     + """, c AS (SELECT item_id, lit, count(*) AS c FROM p WHERE lit IS NOT NULL GROUP BY item_id, lit)
       SELECT item_id, sum(c)::BIGINT AS n, count(*) AS symbols, round(sum(c) * log2(sum(c)) - sum(c * log2(c)), 6) AS entropy_bits FROM c GROUP BY item_id""",
-    "byte_histogram": "SELECT ('0x' || substr(h, 2 * i + 1, 2))::INT AS byte, count(*) AS n FROM (SELECT h, unnest(range(0, length(h) // 2)) AS i FROM (SELECT hex(encode(text)) AS h FROM documents)) GROUP BY 1",
+    "byte_histogram": """SELECT ('0x' || x)::INT AS byte, count(*) AS n FROM (SELECT substr(p, 2 * i + 1, 2) AS x FROM (SELECT p, unnest(range(0, length(p) // 2)) AS i
+      FROM (SELECT substr(h, (256 * g + 1)::BIGINT, 256) AS p FROM (SELECT h, unnest(range(0, length(h) // 256 + 1)) AS g FROM (SELECT hex(encode(text)) AS h FROM documents))))) GROUP BY 1""",
     "varint_sizes": "SELECT ceil(length(bin(l_orderkey)) / 7.0)::INT AS bytes, count(*) AS n, sum(l_orderkey)::BIGINT AS total FROM lineitem GROUP BY 1",
     "lz78_ref_bits": _LZ78 + f" SELECT item_id, sum(({_WIDTH('seq')}) + CASE WHEN lit IS NULL THEN 0 ELSE 8 END)::BIGINT AS bits FROM p GROUP BY item_id",
     "memory_plan": """WITH i AS (SELECT doc_id, (n_chars * pow(10, doc_id % 8))::BIGINT AS n, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 100000 * (1 + doc_id % 50) END AS m FROM documents),
