@@ -42,7 +42,7 @@ _LABEL = re.compile(rf"(?i){_DOT}")
 _VALUE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/~.-]*")
 #: What a text must hold for the field to look at it at all: a digit, an at sign, or one of these.
 _WORDS = re.compile(rf"(?i)[(\[]\s?(?:at|dot)\s?[)\]]|\sdot\s|(?:{'|'.join(sorted(_SECRETS))})[\s\"']{{0,3}}[=:]")
-_TRIGGER = re.compile(rf"[0-9@]|{_WORDS.pattern[4:]}", re.IGNORECASE)
+_MARKS = re.compile(r"[0-9@][0-9]*")
 _CHUNK = re.compile(r"\S*")
 _WORD = re.compile(r"[^\W\d_]+")
 _TRIGGER_BYTES = np.zeros(256, bool)
@@ -381,6 +381,19 @@ def train(settings: Settings = Settings()) -> Field:
     return Field({f: weights[i] for f, i in number.items()})
 
 
+def _may_hold_words(text) -> bool:
+    """Whether _WORDS could find something in a text or its bytes; false for most, at the cost of a few plain searches."""
+    low = text.lower()
+    dot, at, brackets, equals = ("dot", "at", "([", "=:") if isinstance(text, str) else (b"dot", b"at", (b"(", b"["), (b"=", b":"))
+    return dot in low or (at in low and any(c in text for c in brackets)) or any(c in text for c in equals)
+
+
+def _triggers(text: str) -> list[tuple[int, int]]:
+    """Spans of what the field must look at, in order."""
+    found = [m.span() for m in _MARKS.finditer(text)]
+    return sorted(found + [m.span() for m in _WORDS.finditer(text)]) if _may_hold_words(text) else found
+
+
 def _regions(text: str) -> list[tuple[int, int]]:
     """Runs of neighbouring words that hold a trigger, with two words on either side; runs that then touch are one.
 
@@ -388,10 +401,10 @@ def _regions(text: str) -> list[tuple[int, int]]:
     """
     out: list[list[int]] = []
     end, n = 0, len(text)
-    for m in _TRIGGER.finditer(text):
-        if m.start() < end:
+    for start, stop in _triggers(text):
+        if start < end:
             continue
-        a, floor = m.start(), out[-1][1] if out else 0
+        a, floor = start, out[-1][1] if out else 0
         while a > floor and not text[a - 1].isspace():
             a -= 1
         for _ in range(2):  # parts of a disguised address need not hold a trigger
@@ -399,7 +412,7 @@ def _regions(text: str) -> list[tuple[int, int]]:
                 a -= 1
             while a > floor and not text[a - 1].isspace():
                 a -= 1
-        end = b = _CHUNK.match(text, m.end()).end()
+        end = b = _CHUNK.match(text, stop).end()
         for _ in range(2):
             if b < n:
                 b = _CHUNK.match(text, b + 1).end()
@@ -416,8 +429,6 @@ def all_spans(text: str, field: Field, settings: Settings = Settings()) -> tuple
     Time and memory are linear in the text: each token begins at most ``settings.longest`` candidates.
     """
     base = base_spans(text)
-    if not _TRIGGER.search(text):
-        return base, base
     taken = sorted((a, b) for _, a, b in base)
     starts, reach = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]) if taken else []
     added = []
@@ -468,9 +479,7 @@ def _triggered(texts) -> np.ndarray:
     hit = some[texts.offsets[1:]] > some[texts.offsets[:-1]]
     for i in np.flatnonzero(~hit):
         raw = texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes()
-        low = raw.lower()
-        if b"at" in low or b"dot" in low or b"=" in low or b":" in low:
-            hit[i] = _WORDS.search(raw.decode()) is not None
+        hit[i] = _may_hold_words(raw) and _WORDS.search(raw.decode()) is not None
     return np.flatnonzero(hit)
 
 
