@@ -129,6 +129,21 @@ def test_vectors_in_groups_of_more_than_a_block(spark):
     assert {c for i, (_, c) in got.items() if i < 900} == {0}
 
 
+def test_plan_reaches_the_recall_at_least_cost():
+    s = vectors.Settings()
+    depth = vectors.STEP * np.arange(13)
+    even = np.maximum(1, 1_000_000 / 2.0**depth)[None, :, None].repeat(3, 0).repeat(5, 2)  # every sign halves the vectors
+    slow = np.maximum(1, 1_000_000 / 1.3**depth)[None, :, None].repeat(3, 0).repeat(5, 2)
+    for runs in (even, slow):
+        window, passes = vectors.plan(runs, 1_000_000, s)
+        agree = (1 - s.differ) ** depth
+        found = (agree * np.minimum(1, window / runs[0, :, 0])).max()
+        assert (1 - found) ** passes <= 1 - s.recall < (1 - found) ** (passes - 1)
+    assert np.prod(vectors.plan(slow, 1_000_000, s)) > np.prod(vectors.plan(even, 1_000_000, s))
+    window, passes = vectors.plan(np.full((3, 13, 5), 10**9), 10**9, s)
+    assert passes == s.most and window >= s.widest // 2
+
+
 def test_least_forest():
     rng = np.random.default_rng(3)
     a, b, w = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
