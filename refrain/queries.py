@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refrain.functions.scalar import fingerprint, varint_size
+from refrain.functions.scalar import bit_width, ceil_div, fingerprint, universe_width, varint_size
 from refrain.operators import blockcodec, chunks, hybrid, lz77, lz78, metrics, substrings, tokens
 from refrain.plans import planner
 from refrain.plans.compressor import compress, prepass_decode, prepass_encode
@@ -166,6 +166,20 @@ def topk_lz77_len_check(spark, sf_dir):
     return phrases.withColumn("gap", gap).groupBy(F.col("stream_id").alias("doc_id")).agg(F.sum("len").alias("n"), F.count_if("gap").alias("gaps"))
 
 
+def _small_hybrid(spark, sf_dir):
+    return hybrid.topk_lz77_parse(_benchmark(spark, sf_dir), SMALL_K, WINDOW, SMALL_CAP, sampling=0)
+
+
+def hybrid_phrases(spark, sf_dir):
+    """Phrases of the hybrid parse with a sketch that is soon full; distances depend on the source chosen."""
+    out = _small_hybrid(spark, sf_dir)
+    return out.select(F.col("stream_id").alias("item_id"), "seq", "kind", "len", "node", F.col("literal").cast("int").alias("literal"))
+
+
+def hybrid_metrics(spark, sf_dir):
+    return metrics.hybrid_metrics(_small_hybrid(spark, sf_dir)).withColumnRenamed("stream_id", "item_id")
+
+
 def hybrid_phrase_stats(spark, sf_dir):
     phrases = hybrid.topk_lz77_parse(_documents(spark, sf_dir), K, WINDOW, CAP, sampling=0)
     return metrics.hybrid_metrics(phrases).withColumnRenamed("stream_id", "doc_id")
@@ -175,6 +189,35 @@ def lz78_phrase_stats(spark, sf_dir):
     return metrics.lz78_metrics(lz78.lz78_parse(_benchmark(spark, sf_dir))).withColumnRenamed("stream_id", "item_id")
 
 
+def topk_lz78_phrase_stats(spark, sf_dir):
+    """A last phrase without a letter does not count."""
+    return metrics.lz78_metrics(lz78.topk_lz78_parse(_benchmark(spark, sf_dir), SMALL_K, SMALL_CAP), unfinished=False).withColumnRenamed("stream_id", "item_id")
+
+
+def age_lz78_phrase_stats(spark, sf_dir):
+    return metrics.lz78_metrics(lz78.age_lz78_parse(_benchmark(spark, sf_dir), SMALL_K)).withColumnRenamed("stream_id", "item_id")
+
+
+def expanded_lengths(spark, sf_dir):
+    """Compacted nodes of a tree, one row for each length they stand for: how many there are by length."""
+    nodes = _table(spark, sf_dir, "part").select((F.col("p_size") % 7).alias("parent_depth"), (F.col("p_size") % 7 + 1 + F.col("p_partkey") % 5).cast("int").alias("depth"))
+    return substrings.expand_lengths(nodes).groupBy(F.col("len").cast("long").alias("len")).agg(F.count("*").alias("n"))
+
+
+def memory_estimates(spark, sf_dir):
+    """Bytes that a pre-pass would need, for made-up counts of chunks."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("parsing"), (F.col("o_custkey") % 100).alias("card"), (6 + F.col("o_orderkey") % 7).alias("sampling"))
+    need = planner.memory_estimate(F.lit(65536), F.col("parsing"), F.col("card"), F.lit(16), F.lit(4), F.col("sampling"))
+    return rows.select("o_orderkey", need.alias("bytes"))
+
+
+def integer_widths(spark, sf_dir):
+    """Bit widths, widths within a range and rounded-up quotients of order keys."""
+    key = F.col("l_orderkey")
+    rows = _table(spark, sf_dir, "lineitem").select(bit_width(key).cast("long").alias("bits"), universe_width(F.lit(1), key).cast("long").alias("width"), ceil_div(key, 7).alias("sevenths"))
+    return rows.groupBy("bits", "width").agg(F.count("*").alias("n"), F.sum("sevenths").alias("sevenths"))
+
+
 def lz77_phrase_stats(spark, sf_dir):
     out = metrics.lz77_metrics(lz77.lz77_parse(_benchmark(spark, sf_dir)))
     return out.select(F.col("stream_id").alias("item_id"), "n", "z", "literals", "refs", "longest_ref")
@@ -186,10 +229,17 @@ def lpf_relational(spark, sf_dir):
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "len")
 
 
-def lz77_token_costs(spark, sf_dir):
-    """Tokens of window-wise LZ77 phrases, long lengths escaped, by type."""
-    rows = tokens.tokens(lz77.lz77_parse(_documents(spark, sf_dir), window=WINDOW), split_long=True)
-    return rows.groupBy(F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("max"))
+def lz77_token_values(spark, sf_dir):
+    """Lengths and literals among the tokens of exact LZ77 phrases, by text; distances depend on the source chosen."""
+    rows = tokens.tokens(lz77.lz77_parse(_benchmark(spark, sf_dir)), split_long=True).where(F.col("type").isin(tokens.LEN, tokens.LITERAL))
+    return rows.groupBy(F.col("stream_id").alias("item_id"), F.col("type").cast("int").alias("type")).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("max"))
+
+
+def long_length_escape(spark, sf_dir):
+    """Tokens of texts of one letter, whose references are long: a length of 255 or more takes a second token."""
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("stream_id"), F.encode(F.repeat(F.lit("x"), F.col("p_partkey").cast("int") % 900 + 1), "UTF-8").alias("bytes"))
+    out = tokens.tokens(lz77.lz77_parse(rows), split_long=True)
+    return out.select(F.col("stream_id").alias("p_partkey"), "ord", F.col("type").cast("int").alias("type"), "value")
 
 
 def hybrid_token_costs(spark, sf_dir):
@@ -334,9 +384,9 @@ def lang_source_cube(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     topk_substrings_global, topk_substrings_by_lang, topk_substrings_unbounded, substring_len_histogram, topk_fingerprints, frequencies_csv, topk_overlap_score, approx_topk_bounds, approx_topk_by_item, approx_topk_merged, topk_lz78_phrases, age_lz78_phrases,
-    lz78_roundtrip, topk_lz78_roundtrip, lz78_age_roundtrip, lz77_roundtrip, lz77_blockwise_roundtrip, topk_lz77_roundtrip, topk_lz77_sampled_roundtrip, topk_lz77_len_check, hybrid_phrase_stats,
+    lz78_roundtrip, topk_lz78_roundtrip, lz78_age_roundtrip, lz77_roundtrip, lz77_blockwise_roundtrip, topk_lz77_roundtrip, topk_lz77_sampled_roundtrip, topk_lz77_len_check, hybrid_phrases, hybrid_metrics, hybrid_phrase_stats,
     lz78_phrase_stats, lz77_phrase_stats, lpf_relational, token_block_ranges, token_cost_rollup, token_blocks_roundtrip, token_header_bits, token_huffman_costs, compress_roundtrip, prepass_roundtrip, suffix_order, sketch_state, literal_entropy, byte_histogram, varint_sizes, lz78_ref_bits, memory_plan,
-    chunk_cardinality_gate, chunk_cardinality_exact, lz77_token_costs, hybrid_token_costs, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
+    chunk_cardinality_gate, chunk_cardinality_exact, lz77_token_values, long_length_escape, hybrid_token_costs, topk_lz78_phrase_stats, age_lz78_phrase_stats, expanded_lengths, memory_estimates, integer_widths, chunk_reference_check, window_split, prefix_scan, dictionary_prefix_match, streaming_lz78_roundtrip, event_windows, lang_source_cube,
 )}
 
 
@@ -372,31 +422,60 @@ _ENTRY = "STRUCT(st INT, s VARCHAR, id INT, f INT)"
 _LEAF = "lambda e: len(list_filter(ents, lambda y: length(y.s) = length(e.s) + 1 AND starts_with(y.s, e.s))) = 0"
 
 
-def _bounded(k: int, cap: int, substrings: bool) -> str:
-    """SQL for Misra-Gries prefixes with k entries, byte by byte: LZ78 phrases as the walk goes, or a walk from every start.
+def _counted(k: int, cap: int) -> tuple[str, str, str]:
+    """SQL for the entries, the threshold and the number of renormalisations after one letter, given known, hit, victim and child.
 
     A known child is counted. Else an unused entry is taken, or the leaf at the threshold that was linked last, whose
     parent may become a leaf; if there is none, the threshold goes up, and at half the cap all counters come down.
     """
+    low = f"th + 1 >= {(cap - 1) // 2}"
+    entries = f"""CASE WHEN known THEN list_transform(ents, lambda e: CASE WHEN e.s = child AND greatest(e.f, th) < {cap - 1} THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': greatest(e.f, th) + 1}} ELSE e END)
+      WHEN len(ents) < {k} THEN list_append(ents, {{'st': clock, 's': child, 'id': ({k} - len(ents))::INT, 'f': th + 1}})
+      WHEN victim IS NOT NULL THEN list_append(list_transform(list_filter(ents, lambda e: e.s <> victim.s), lambda e: CASE WHEN e.s = victim.s[:-2] AND len(list_filter(ents, lambda y: length(y.s) = length(e.s) + 1 AND starts_with(y.s, e.s))) = 1
+        THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': e.f}} ELSE e END), {{'st': clock + 1, 's': child, 'id': victim.id, 'f': greatest(victim.f, th) + 1}})
+      WHEN {low} THEN list_transform(ents, lambda e: {{'st': e.st, 's': e.s, 'id': e.id, 'f': greatest(e.f, th + 1) - (th + 1)}}) ELSE ents END"""
+    kept = f"known OR len(ents) < {k} OR victim IS NOT NULL"
+    return entries, f"CASE WHEN {kept} THEN th WHEN {low} THEN 0 ELSE th + 1 END", f"CASE WHEN {kept} OR NOT ({low}) THEN ren ELSE ren + 1 END"
+
+
+def _looked_up(k: int) -> str:
+    """SQL columns hit, known and victim for the string child."""
+    return f"""list_filter(ents, lambda e: e.s = child)[1] AS hit, hit IS NOT NULL AS known,
+      CASE WHEN hit IS NULL AND len(ents) >= {k} THEN list_sort(list_filter(list_filter(ents, lambda e: greatest(e.f, th) = th), {_LEAF}), 'DESC')[1] END AS victim"""
+
+
+def _bounded(k: int, cap: int, substrings: bool) -> str:
+    """SQL for Misra-Gries prefixes with k entries, byte by byte: LZ78 phrases as the walk goes, or a walk from every start."""
     on = "start" if substrings else "0"
     at = "CASE WHEN NOT known OR ix + 1 >= length(text) THEN start + 1 ELSE ix + 1 END" if substrings else "ix + 1"
     cur = "CASE WHEN known AND ix + 1 < length(text) THEN child ELSE '' END" if substrings else "CASE WHEN known THEN child ELSE '' END"
     start = "CASE WHEN NOT known OR ix + 1 >= length(text) THEN start + 1 ELSE start END" if substrings else "start"
+    entries, threshold, renormalised = _counted(k, cap)
     return f"""WITH RECURSIVE {_BYTES}, s AS (SELECT item_id, text, 0 AS start, 0 AS ix, '' AS cur, 0 AS cur_id, []::{_ENTRY}[] AS ents, 0 AS th, 0 AS ren, 0 AS clock, NULL::INT AS node, NULL::VARCHAR AS lit, NULL::INT AS len FROM b
-  UNION ALL SELECT item_id, text, {start}, {at}, {cur}, CASE WHEN known THEN hit.id ELSE 0 END,
-    CASE WHEN known THEN list_transform(ents, lambda e: CASE WHEN e.s = child AND greatest(e.f, th) < {cap - 1} THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': greatest(e.f, th) + 1}} ELSE e END)
-      WHEN len(ents) < {k} THEN list_append(ents, {{'st': clock, 's': child, 'id': ({k} - len(ents))::INT, 'f': th + 1}})
-      WHEN victim IS NOT NULL THEN list_append(list_transform(list_filter(ents, lambda e: e.s <> victim.s), lambda e: CASE WHEN e.s = victim.s[:-2] AND len(list_filter(ents, lambda y: length(y.s) = length(e.s) + 1 AND starts_with(y.s, e.s))) = 1
-        THEN {{'st': clock, 's': e.s, 'id': e.id, 'f': e.f}} ELSE e END), {{'st': clock + 1, 's': child, 'id': victim.id, 'f': greatest(victim.f, th) + 1}})
-      WHEN th + 1 >= {(cap - 1) // 2} THEN list_transform(ents, lambda e: {{'st': e.st, 's': e.s, 'id': e.id, 'f': greatest(e.f, th + 1) - (th + 1)}}) ELSE ents END,
-    CASE WHEN known OR len(ents) < {k} OR victim IS NOT NULL THEN th WHEN th + 1 >= {(cap - 1) // 2} THEN 0 ELSE th + 1 END,
-    CASE WHEN known OR len(ents) < {k} OR victim IS NOT NULL OR th + 1 < {(cap - 1) // 2} THEN ren ELSE ren + 1 END,
+  UNION ALL SELECT item_id, text, {start}, {at}, {cur}, CASE WHEN known THEN hit.id ELSE 0 END, {entries}, {threshold}, {renormalised},
     clock + 2, CASE WHEN NOT known THEN cur_id END, CASE WHEN NOT known THEN c END, CASE WHEN NOT known THEN length(cur) + 1 END
-  FROM (SELECT *, list_filter(ents, lambda e: e.s = child)[1] AS hit, hit IS NOT NULL AS known,
-      CASE WHEN hit IS NULL AND len(ents) >= {k} THEN list_sort(list_filter(list_filter(ents, lambda e: greatest(e.f, th) = th), {_LEAF}), 'DESC')[1] END AS victim
+  FROM (SELECT *, {_looked_up(k)}
     FROM (SELECT *, substr(text, ix + 1, 1) AS c, cur || substr(text, ix + 1, 1) AS child FROM s WHERE ix < length(text) AND {on} < length(text))))"""
 
 
+def _hybrid(k: int, cap: int) -> str:
+    """SQL for the hybrid parse of each text as one window: exact references against a sketch of k - 2 entries that each used reference enters.
+
+    A step either takes a phrase at position at, or, while ix < stop, enters the next letter of the last reference.
+    """
+    entries, threshold, _ = _counted(k - 2, cap)
+    return f"""{_WALK}, refs AS (SELECT b.item_id, text, list({{'p': pos - 1, 'n': len}}) FILTER (len >= 2) AS refs FROM b JOIN walk USING (item_id) GROUP BY b.item_id, text),
+h AS (SELECT item_id, text, refs, 0 AS at_, 0 AS ix, 0 AS stop, '' AS cur, []::{_ENTRY}[] AS ents, 0 AS th, 0 AS clock, NULL::VARCHAR AS kind, NULL::INT AS len, NULL::INT AS node, NULL::INT AS literal FROM refs
+  UNION ALL SELECT item_id, text, refs, at_ + coalesce(took, 0), CASE WHEN took IS NULL THEN CASE WHEN known THEN ix + 1 ELSE stop END WHEN trie THEN 0 WHEN took > 1 THEN at_ ELSE 0 END,
+    CASE WHEN took IS NULL THEN stop WHEN NOT trie AND took > 1 THEN at_ + took ELSE 0 END, CASE WHEN took IS NULL AND known THEN child ELSE '' END,
+    CASE WHEN took IS NOT NULL THEN ents ELSE {entries} END, CASE WHEN took IS NOT NULL THEN th ELSE {threshold} END, clock + 2,
+    CASE WHEN took IS NOT NULL THEN CASE WHEN trie THEN 'trie' WHEN took > 1 THEN 'ref' ELSE 'lit' END END, took, CASE WHEN trie THEN best.id END, CASE WHEN NOT trie AND took = 1 THEN unicode(substr(text, at_ + 1, 1)) END
+  FROM (SELECT *, coalesce(best.n >= greatest(remaining, 1), false) AS trie, CASE WHEN ix < stop THEN NULL WHEN best.n >= greatest(remaining, 1) THEN best.n WHEN remaining > 1 THEN remaining ELSE 1 END::INT AS took
+    FROM (SELECT *, {_looked_up(k - 2)}, CASE WHEN ix >= stop THEN list_sort(list_transform(list_filter(ents, lambda e: starts_with(substr(text, at_ + 1), e.s)), lambda e: {{'n': length(e.s), 'id': e.id}}), 'DESC')[1] END AS best,
+        coalesce(list_transform(list_filter(refs, lambda r: r.p <= at_ AND at_ < r.p + r.n), lambda r: r.p + r.n - at_)[1], 0) AS remaining
+      FROM (SELECT *, cur || substr(text, ix + 1, 1) AS child FROM h WHERE ix < stop OR at_ < length(text)))))"""
+
+
 def _aged(k: int) -> str:
     """SQL for LZ78 whose dictionary of k - 1 entries besides the root drops the leaf added first, but never the one in hand. Entries stand in the order of their adding."""
     return f"""WITH RECURSIVE {_BYTES}, s AS (SELECT item_id, text, 0 AS ix, '' AS cur, 0 AS cur_id, []::{_ENTRY}[] AS ents, NULL::INT AS node, NULL::VARCHAR AS lit, NULL::INT AS len FROM b
@@ -409,8 +488,12 @@ def _aged(k: int) -> str:
 
 
 #: LZ78 phrases of either kind from the steps: with a letter where a walk ends, and a last one without.
-_PHRASES = """, p0 AS (SELECT item_id, ix, node, lit, len FROM s WHERE node IS NOT NULL UNION ALL SELECT item_id, ix + 1, cur_id, NULL, length(cur) FROM s WHERE ix = length(text) AND cur <> '')
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ix) - 1 AS seq, node::BIGINT AS node, unicode(lit)::INT AS literal, len::BIGINT AS len FROM p0"""
+_STEPS = ", p0 AS (SELECT item_id, ix, node, lit, len FROM s WHERE node IS NOT NULL UNION ALL SELECT item_id, ix + 1, cur_id, NULL, length(cur) FROM s WHERE ix = length(text) AND cur <> '')"
+_PHRASES = f"""{_STEPS} SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ix) - 1 AS seq, node::BIGINT AS node, unicode(lit)::INT AS literal, len::BIGINT AS len FROM p0"""
+
+def _stats(steps: str, counted: str) -> str:
+    return f"{steps}{_STEPS} SELECT item_id, count(*) FILTER ({counted}) AS z, coalesce(max(len) FILTER ({counted}), 0)::BIGINT AS len_max, round(avg(len) FILTER ({counted}), 2) AS len_avg FROM p0 GROUP BY item_id"
+
 
 #: The last state of each item's walk over all starts, and the entries in it.
 _LAST = ", z AS MATERIALIZED (SELECT item_id, arg_max(ents, clock) AS ents, max_by(th, clock) AS th, max_by(ren, clock) AS ren FROM s GROUP BY item_id), e AS MATERIALIZED (SELECT item_id, th, ren, unnest(ents) AS e FROM z)"
@@ -428,6 +511,11 @@ _LPF = f"""WITH RECURSIVE {_BYTES}, subs AS MATERIALIZED (SELECT item_id, pos, n
   FROM (SELECT *, unnest(range(1, least(64, length(text) - pos + 1) + 1)) AS n FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM b))),
 lpf AS MATERIALIZED (SELECT item_id, pos, coalesce(max(n) FILTER (prev IS NOT NULL), 0)::BIGINT AS len FROM subs GROUP BY item_id, pos)"""
 
+_WALK = (
+    _LPF
+    + """, walk AS (SELECT item_id, pos, len FROM lpf WHERE pos = 1 UNION ALL SELECT lpf.item_id, lpf.pos, lpf.len FROM walk JOIN lpf ON lpf.item_id = walk.item_id AND lpf.pos = walk.pos + CASE WHEN walk.len >= 2 THEN walk.len ELSE 1 END)"""
+)
+
 _DOCUMENTS = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''"
 
 ORACLES = {
@@ -452,9 +540,25 @@ ORACLES = {
     **dict.fromkeys(("lz78_roundtrip", "topk_lz78_roundtrip", "lz78_age_roundtrip", "lz77_roundtrip", "lz77_blockwise_roundtrip", "topk_lz77_roundtrip", "topk_lz77_sampled_roundtrip", "compress_roundtrip", "prepass_roundtrip"), _DOCUMENTS),
     "topk_lz77_len_check": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, 0::BIGINT AS gaps FROM documents WHERE text IS NOT NULL AND text <> ''",
     "lz78_phrase_stats": _LZ78 + " SELECT item_id, count(*) AS z, max(len)::BIGINT AS len_max, round(avg(len), 2) AS len_avg FROM p GROUP BY item_id",
-    "lz77_phrase_stats": _LPF
-    + """, walk AS (SELECT item_id, pos, len FROM lpf WHERE pos = 1 UNION ALL SELECT lpf.item_id, lpf.pos, lpf.len FROM walk JOIN lpf ON lpf.item_id = walk.item_id AND lpf.pos = walk.pos + CASE WHEN walk.len >= 2 THEN walk.len ELSE 1 END)
-      SELECT item_id, sum(CASE WHEN len >= 2 THEN len ELSE 1 END)::BIGINT AS n, count(*) AS z, count(*) FILTER (len < 2) AS literals, count(*) FILTER (len >= 2) AS refs, coalesce(max(len) FILTER (len >= 2), 0) AS longest_ref FROM walk GROUP BY item_id""",
+    "lz77_phrase_stats": _WALK
+    + """ SELECT item_id, sum(CASE WHEN len >= 2 THEN len ELSE 1 END)::BIGINT AS n, count(*) AS z, count(*) FILTER (len < 2) AS literals, count(*) FILTER (len >= 2) AS refs, coalesce(max(len) FILTER (len >= 2), 0) AS longest_ref FROM walk GROUP BY item_id""",
+    "lz77_token_values": _WALK
+    + f""", v AS (SELECT item_id, {tokens.LEN} AS type, CASE WHEN len >= 2 THEN len ELSE 0 END AS value FROM walk UNION ALL SELECT item_id, {tokens.LITERAL}, unicode(substr(text, pos, 1)) FROM walk JOIN b USING (item_id) WHERE len < 2)
+      SELECT item_id, type, count(*) AS n, sum(value)::BIGINT AS total, max(value)::BIGINT AS max FROM v GROUP BY item_id, type""",
+    "long_length_escape": f"""WITH r AS (SELECT p_partkey, p_partkey % 900 AS n FROM part), t AS (SELECT p_partkey, unnest(list_transform([{{'t': {tokens.LEN}, 'v': 0}}, {{'t': {tokens.LITERAL}, 'v': 120}}]
+        || CASE WHEN n >= {tokens.LONG} THEN [{{'t': {tokens.LEN}, 'v': {tokens.LONG}}}, {{'t': {tokens.REMAINDER}, 'v': (n - {tokens.LONG})::INT}}, {{'t': {tokens.SRC}, 'v': 1}}] WHEN n >= 2 THEN [{{'t': {tokens.LEN}, 'v': n::INT}}, {{'t': {tokens.SRC}, 'v': 1}}]
+          WHEN n = 1 THEN [{{'t': {tokens.LEN}, 'v': 0}}, {{'t': {tokens.LITERAL}, 'v': 120}}] ELSE [] END, lambda y, i: {{'ord': i - 1, 't': y.t, 'v': y.v}})) AS x FROM r)
+      SELECT p_partkey, x.ord::BIGINT AS ord, x.t::INT AS type, x.v::BIGINT AS value FROM t""",
+    "topk_lz78_phrase_stats": _stats(_bounded(SMALL_K, SMALL_CAP, False), "lit IS NOT NULL"),
+    "age_lz78_phrase_stats": _stats(_aged(SMALL_K), "true"),
+    "hybrid_phrases": _hybrid(SMALL_K, SMALL_CAP) + " SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY clock) - 1 AS seq, kind, len::BIGINT AS len, node::BIGINT AS node, literal FROM h WHERE kind IS NOT NULL",
+    "hybrid_metrics": _hybrid(SMALL_K, SMALL_CAP)
+    + """ SELECT item_id, count(*) AS z, count(*) FILTER (kind <> 'lit') AS phrases_ref, count(*) FILTER (kind = 'lit') AS phrases_literal, count(*) FILTER (kind = 'ref') AS num_relevant, coalesce(max(len) FILTER (kind <> 'lit'), 0)::BIGINT AS longest,
+      coalesce(max(len) FILTER (kind = 'ref'), 0)::BIGINT AS longest_lz, coalesce(max(len) FILTER (kind = 'trie'), 0)::BIGINT AS longest_trie, count(*) FILTER (kind = 'ref') AS num_lz, count(*) FILTER (kind = 'trie') AS num_trie,
+      round(avg(len) FILTER (kind = 'ref'), 2) AS avg_lz, round(avg(len) FILTER (kind = 'trie'), 2) AS avg_trie, round(avg(len) FILTER (kind <> 'lit'), 2) AS avg_ref FROM h WHERE kind IS NOT NULL GROUP BY item_id""",
+    "expanded_lengths": "SELECT len::BIGINT AS len, count(*) AS n FROM (SELECT unnest(range(p_size % 7 + 1, p_size % 7 + 2 + p_partkey % 5)) AS len FROM part) GROUP BY len",
+    "memory_estimates": "SELECT o_orderkey, (65536 + o_custkey * (16 + 2 * 4) + (1 << (6 + o_orderkey % 7 + 1)::INT) * (o_custkey % 100))::BIGINT AS bytes FROM orders",
+    "integer_widths": f"SELECT ({_WIDTH('l_orderkey')})::BIGINT AS bits, ({_WIDTH('(l_orderkey - 1)')})::BIGINT AS width, count(*) AS n, sum((l_orderkey + 6) // 7)::BIGINT AS sevenths FROM lineitem GROUP BY 1, 2",
     "lpf_relational": _LPF + " SELECT item_id, pos, len FROM lpf",
     "token_block_ranges": _TOKENS + " SELECT item_id, block_id, type, n, min, max, avg, stddev FROM ranges",
     "token_cost_rollup": _TOKENS
