@@ -68,16 +68,34 @@ def _common(data: bytes, a: int, b: int) -> int:
 _SHORT = 16
 
 
-def _common_start(data: bytes, source: np.ndarray) -> np.ndarray:
-    """Length, _SHORT at most, of the common prefix of data[i:] and data[source[i]:] for every i; 0 where there is no source."""
+def _eights(data: bytes) -> np.ndarray:
+    """The eight letters from each position on as one number; zeros follow the end, where eight more positions stand."""
     n = len(data)
-    letters = np.full(n + _SHORT, 256, np.uint16)
+    letters = np.zeros(n + _SHORT, np.uint64)
     letters[:n] = np.frombuffer(data, np.uint8)
+    out = np.zeros(n + 8, np.uint64)
+    for k in range(8):
+        out |= letters[k : k + n + 8] << np.uint64(56 - 8 * k)
+    return out
+
+
+def _equal_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of eight letters are equal before the first that differs."""
+    differ, out = a ^ b, np.zeros(len(a), np.int64)
+    for k in range(8):
+        out += differ >> np.uint64(56 - 8 * k) == 0
+    return out
+
+
+def _common_start(eights: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Length, _SHORT at most, of the common prefix of the text from i and from source[i] < i, for every i; 0 where there is no source."""
     at = np.flatnonzero(source >= 0)
-    out = np.zeros(n, np.int64)
-    for k in range(_SHORT):
-        at = at[letters[at + k] == letters[source[at] + k]]
-        out[at] += 1
+    from_ = source[at]
+    same = _equal_letters(eights[at], eights[from_])
+    more = np.flatnonzero(same == 8)
+    same[more] += _equal_letters(eights[at[more] + 8], eights[from_[more] + 8])
+    out = np.zeros(len(source), np.int64)
+    out[at] = np.minimum(same, len(source) - at)
     return out
 
 
@@ -89,7 +107,8 @@ def references(data: bytes, min_ref_len: int = 2) -> list[tuple[int, int, int]]:
     if len(data) < 2:
         return []
     before, after = _smaller_neighbours(suffix_array(data).tolist())
-    short = [_common_start(data, np.array(x)).tolist() for x in (before, after)]
+    eights = _eights(data)
+    short = [_common_start(eights, np.array(x)).tolist() for x in (before, after)]
     out, at, n = [], 0, len(data)
     while at < n:
         length, source = short[0][at], before[at]
