@@ -179,14 +179,17 @@ def lz77_decode(phrases: DataFrame) -> DataFrame:
     return map_groups(phrases.select("stream_id", "seq", "len", "dist", "literal"), "stream_id", ["seq"], work, DECODED)
 
 
-def longest_previous(texts: DataFrame, key: str, text: str, longest: int = 64) -> DataFrame:
-    """(key, pos, len): longest previous occurrence at each position of short texts, at most ``longest``, in DataFrame functions only.
+def longest_previous(texts: DataFrame, key: str, text: str, longest: int | None = None) -> DataFrame:
+    """(key, pos, len): longest previous occurrence at each position of short texts, in DataFrame functions only.
 
-    For each length the previous start of the same substring is its lag in the text; meant for texts of some hundred letters.
+    For each length the previous start of the same substring is its lag in the text: rows are quadratic in a text's
+    length, so it is meant for texts of some hundred letters; ``longest`` bounds the lengths looked at.
     """
     n = F.length(text)
     at = texts.select(F.col(key), F.col(text).alias("t"), F.explode(F.sequence(F.lit(1), n)).alias("pos")).where(F.length("t") > 0)
-    subs = at.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("t") - F.col("pos") + 1))))
+    most = F.length("t") - F.col("pos") + 1
+    most = most if longest is None else F.least(F.lit(longest), most)
+    subs = at.withColumn("l", F.explode(F.sequence(F.lit(1), most)))
     subs = subs.select(key, "pos", "l", F.expr("substring(t, pos, l)").alias("sub"))
     seen = subs.withColumn("prev", F.lag("pos").over(Window.partitionBy(key, "l", "sub").orderBy("pos")))
     return seen.groupBy(key, "pos").agg(F.coalesce(F.max(F.when(F.col("prev").isNotNull(), F.col("l"))), F.lit(0)).cast("long").alias("len"))

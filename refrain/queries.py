@@ -225,7 +225,7 @@ def lz77_phrase_stats(spark, sf_dir):
 
 def lpf_relational(spark, sf_dir):
     texts = _table(spark, sf_dir, "benchmark").select("item_id", sources.letters(F.encode("text", "UTF-8")).alias("text"))
-    out = lz77.longest_previous(texts, "item_id", "text", 64)
+    out = lz77.longest_previous(texts, "item_id", "text")
     return out.select("item_id", F.col("pos").cast("long").alias("pos"), "len")
 
 
@@ -508,7 +508,7 @@ ranges AS (SELECT item_id, block_id, type, count(*) AS n, min(value)::BIGINT AS
 _WIDTH = lambda x: f"CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END"
 
 _LPF = f"""WITH RECURSIVE {_BYTES}, subs AS MATERIALIZED (SELECT item_id, pos, n, lag(pos) OVER (PARTITION BY item_id, n, substr(text, pos, n) ORDER BY pos) AS prev
-  FROM (SELECT *, unnest(range(1, least(64, length(text) - pos + 1) + 1)) AS n FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM b))),
+  FROM (SELECT *, unnest(range(1, length(text) - pos + 2)) AS n FROM (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS pos FROM b))),
 lpf AS MATERIALIZED (SELECT item_id, pos, coalesce(max(n) FILTER (prev IS NOT NULL), 0)::BIGINT AS len FROM subs GROUP BY item_id, pos)"""
 
 _WALK = (
