@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Largest table, in bytes, that ``join_small`` broadcasts; beyond it a shuffle join is used.
 BROADCAST_BYTES = 16 << 20
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Tables made in each open scope of ``tables``, the innermost last.
 _SCOPES: list[list[DataFrame]] = []
@@ -41,6 +42,16 @@ def workers_see_package(spark: SparkSession) -> None:
     context.addPyFile(context._refrain_zip)
 
 
+def prepare(spark: SparkSession) -> None:
+    """What an application does once for its session: workers find the package, and Arrow batches have 1000 rows unless it chose a number.
+
+    Operators work with any setting; batches of 10 000 long texts, Spark's default, only cost executors more memory.
+    """
+    workers_see_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; in local mode one is made where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
