@@ -152,7 +152,7 @@ def _walk_on(own: np.ndarray, data: bytes, seen: np.ndarray, step: int, plan: _P
     i, n = 0, len(data)
     while i < n:
         stop = plan.next_record(step)
-        until = stop if stop is not None else step + n  # a step moves on by one at least
+        until = stop if stop is not None else plan.steps  # records past the plan's end are not known yet
         while step < until and i < n:
             i += plan.move_bytes(step)[data[i]]
             step += 1

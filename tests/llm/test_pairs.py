@@ -363,6 +363,22 @@ def test_prints_against_brute_force():
     assert [p.tobytes() for p in got] == [plain_print(t, s) for t in texts]
 
 
+def test_prints_of_long_texts_against_brute_force():
+    """Texts read past the steps that a fresh plan knows: all of them counts, whatever was read before."""
+    rng = random.Random(12)
+    texts = [prose(rng, 3000) for _ in range(2)]
+    texts.append(texts[0][:9000] + prose(rng, 2000))  # alike in as much as a fresh plan's steps read
+    s = editprint.Settings()
+    assert min(len(t) for t in texts) > 2 * 9000
+    for text in texts:
+        want = plain_print(text, s)
+        read = editprint.plans(s)
+        for _ in range(2):  # the second time the plan is as long as the text
+            assert editprint.fingerprints([text], read)[0].tobytes() == want
+    short = [prose(rng, 5) for _ in range(editprint.FEW)]
+    assert [p.tobytes() for p in editprint.fingerprints(short + texts, editprint.plans(s))] == [plain_print(t, s) for t in short + texts]
+
+
 @pytest.mark.parametrize("parts", [1, 9])
 def test_fingerprints(spark, odd, odd_rows, parts):
     import hashlib
