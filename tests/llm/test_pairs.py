@@ -116,6 +116,51 @@ def test_vectors_that_lie_unevenly(spark):
     assert sum(got.values()) >= 0.995 * want.sum()
 
 
+@pytest.mark.parametrize("lone, dense, blind, settings", [(40_000, 3000, False, {}), (40_000, 3000, True, {}), (16_000, 1000, False, {"carry": 1, "block": 256})])
+def test_vectors_of_one_dense_place(spark, monkeypatch, lone, dense, blind, settings):
+    """Links where few vectors lie, but densely, so that the passes of the others are not enough; the last case takes rounds of passes."""
+    rng = np.random.default_rng(9)
+    alone = rng.normal(size=(lone, 64))
+    alone /= np.linalg.norm(alone, axis=1, keepdims=True)
+    rare = around(rng, dense, 0.82)
+    x = np.concatenate([alone, rare, beside(rng, rare[:1000], 0.952)])
+    want = true_links(x)
+    assert want[:lone].sum() == 0 and want.sum() >= 2000
+    if blind:  # the plan of a sample that met lone ones only
+        plan, even = vectors.plan, 2.0 ** (vectors.STEP * np.arange(13))[None, :, None]
+        monkeypatch.setattr(vectors, "plan", lambda runs, n, s: plan(np.maximum(1, n / even), n, s))
+    frame = spark.createDataFrame(in_parts(x)).repartition(4)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(frame, settings=vectors.Settings(**settings)).collect()}
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert sum(got.values()) >= 0.995 * want.sum()
+
+
+@pytest.mark.parametrize("window", [1, 6, 40])
+def test_crowded_vectors_against_brute_force(spark, window):
+    """However the ordered rows are dealt, each pass tells of each vector how many signs whatever lies beyond its window shares with it at most."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([around(rng, 90, 0.97), rng.normal(size=(40, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "c long, payload binary")
+    s, passes, first, deep = vectors.Settings(), 3, 5, 4
+    want = set()
+    for p in range(passes):
+        order = vectors._order(x, first + p, s)
+        at = sorted(range(len(x)), key=lambda i: (order[i], i))
+        for k, i in enumerate(at):
+            beyond = [at[m] for m in (k - window, k + window) if 0 <= m < len(at)]
+            depth = max((s.signs - int(order[i] ^ order[j]).bit_length() + 1 for j in beyond), default=0)
+            want |= {(i, p, depth)} if depth > deep else set()
+    assert len(want) > 100
+    for parts in (1, 7, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [(r["a"], r["p"], r["d"]) for r in vectors._candidates(classes, window, passes, np.float64, s, first, deep).collect() if r["p"] is not None]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_vectors_in_groups_of_more_than_a_block(spark):
     """Near copies that are one component, and a clump that is none though its candidates touch."""
     rng = np.random.default_rng(8)
