@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from refrain.arrowio import map_groups, map_rows
-from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, Phrases, copy, decoded, numbers
+from refrain.operators.phrases import DECODED, LIT, REF, SCHEMA, TRIE, Phrases, copy, decoded
 
 
 def suffix_array(data: bytes) -> np.ndarray:
@@ -34,15 +36,21 @@ def suffix_array(data: bytes) -> np.ndarray:
         k *= 2
 
 
-def _smaller_neighbours(order: list[int]) -> tuple[list[int], list[int]]:
-    """For each text position, the nearest smaller positions before and after it in suffix order, -1 for none."""
+def _smaller_neighbours(order: np.ndarray) -> tuple[list[int], list[int]]:
+    """For each text position, the nearest smaller positions before and after it in suffix order, -1 for none.
+
+    Positions are linked in suffix order and taken out from the last on: those still beside one are smaller.
+    """
     n = len(order)
-    before, after, stack = [-1] * n, [-1] * n, []
-    for p in order:
-        while stack and stack[-1] > p:
-            after[stack.pop()] = p
-        before[p] = stack[-1] if stack else -1
-        stack.append(p)
+    both = np.full((2, n + 1), -1)  # a spare entry, at -1, for links of the ends
+    both[0, order[1:]] = order[:-1]
+    both[1, order[:-1]] = order[1:]
+    before, after = both.tolist()
+    for p in range(n - 1, 0, -1):
+        a, b = before[p], after[p]
+        after[a] = b
+        before[b] = a
+    del before[n], after[n]
     return before, after
 
 
@@ -73,17 +81,19 @@ def _eights(data: bytes) -> np.ndarray:
     n = len(data)
     letters = np.zeros(n + _SHORT, np.uint64)
     letters[:n] = np.frombuffer(data, np.uint8)
-    out = np.zeros(n + 8, np.uint64)
-    for k in range(8):
-        out |= letters[k : k + n + 8] << np.uint64(56 - 8 * k)
-    return out
+    for k in (1, 2, 4):  # letters held by each number so far
+        letters = letters[:-k] << np.uint64(8 * k) | letters[k:]
+    return letters[: n + 8]
 
 
 def _equal_letters(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of eight letters are equal before the first that differs."""
-    differ, out = a ^ b, np.zeros(len(a), np.int64)
-    for k in range(8):
-        out += differ >> np.uint64(56 - 8 * k) == 0
+    differ = a ^ b
+    out = 8 * (differ == 0)
+    for k in (4, 2, 1):
+        same = differ >> np.uint64(64 - 8 * k) == 0
+        out += k * (same & (differ != 0))
+        differ = np.where(same, differ << np.uint64(8 * k), differ)
     return out
 
 
@@ -106,39 +116,52 @@ def references(data: bytes, min_ref_len: int = 2) -> list[tuple[int, int, int]]:
     """
     if len(data) < 2:
         return []
-    before, after = _smaller_neighbours(suffix_array(data).tolist())
-    eights = _eights(data)
-    short = [_common_start(eights, np.array(x)).tolist() for x in (before, after)]
-    out, at, n = [], 0, len(data)
+    before, after = _smaller_neighbours(suffix_array(data))
+    eights, n = _eights(data), len(data)
+    one, two = np.fromiter(before, np.int64, n), np.fromiter(after, np.int64, n)
+    short, other = _common_start(eights, one), _common_start(eights, two)
+    best = np.maximum(short, other)
+    nearer = np.where((other > short) | (other == short) & (two > one), two, one).tolist()
+    long = np.append(np.where(best >= min(min_ref_len, _SHORT), np.arange(n), n), n)
+    following = np.minimum.accumulate(long[::-1])[::-1].tolist()  # from each position on, the first that may begin a reference
+    best = best.tolist()
+    out, at = [], following[0]
     while at < n:
-        length, source = short[0][at], before[at]
-        other = short[1][at]
+        length, source = best[at], nearer[at]
         if length == _SHORT:
-            length = _common(data, source, at)
-        if other == _SHORT:
-            other = _common(data, after[at], at)
-        if other > length or other == length and after[at] > source:
-            length, source = other, after[at]
+            length, source = _common(data, before[at], at) if short[at] == _SHORT else 0, before[at]
+            rival = _common(data, after[at], at) if other[at] == _SHORT else 0
+            if rival > length or rival == length and after[at] > source:
+                length, source = rival, after[at]
         if length >= min_ref_len:
             out.append((at, at - source, length))
-            at += length
+            at = following[at + length]
         else:
-            at += 1
+            at = following[at + 1]
     return out
 
 
+#: Longest texts whose references a worker remembers, and how many: 1000 bytes have some 100 references.
+_REMEMBERED, _TEXTS = 1 << 10, 1 << 10
+
+
+@lru_cache(_TEXTS)
+def _again(data: bytes, min_ref_len: int) -> list[tuple[int, int, int]]:
+    return references(data, min_ref_len)
+
+
 def window_phrases(out: Phrases, data: bytes, refs: list[tuple[int, int, int]]) -> None:
-    """The phrases of a window: its references, and a literal for each byte between them."""
+    """The phrases of a window: its references, and a literal for each byte between them. A negative distance -v is dictionary entry v."""
     n = len(data)
     pos, dist, length = np.array(refs, np.int64).reshape(-1, 3).T
     inside = np.zeros(n + 1, np.int32)
     inside[pos + 1] += 1
-    np.subtract.at(inside, pos + length, 1)
+    inside[pos + length] -= 1  # ends differ
     at = np.flatnonzero(np.cumsum(inside[:n]) == 0)  # where phrases begin
     ref = np.searchsorted(at, pos)
-    kind, size, back, letter = np.full(len(at), LIT), np.ones(len(at), np.int64), np.full(len(at), -1), np.frombuffer(data, np.uint8)[at].astype(np.int64)
-    kind[ref], size[ref], back[ref], letter[ref] = REF, length, dist, -1
-    out.add_all(kind, size, dist=back, literal=letter)
+    kind, size, back, entry, letter = np.full(len(at), LIT), np.ones(len(at), np.int64), np.full(len(at), -1), np.full(len(at), -1), np.frombuffer(data, np.uint8)[at].astype(np.int64)
+    kind[ref], size[ref], back[ref], entry[ref], letter[ref] = np.where(dist < 0, TRIE, REF), length, np.where(dist < 0, -1, dist), np.where(dist < 0, -dist, -1), -1
+    out.add_all(kind, size, dist=back, node=entry, literal=letter)
 
 
 def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int = 2) -> DataFrame:
@@ -154,7 +177,7 @@ def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int =
             size = window or max(1, len(data or b""))
             for base in range(0, len(data or b""), size):
                 part = data[base : base + size]
-                window_phrases(out, part, references(part, min_ref_len))
+                window_phrases(out, part, (_again if len(part) <= _REMEMBERED else references)(part, min_ref_len))
                 out.window += 1
         return out.batch()
 
@@ -164,8 +187,8 @@ def lz77_parse(streams: DataFrame, window: int | None = None, min_ref_len: int =
 def lz77_decode(phrases: DataFrame) -> DataFrame:
     """(stream_id, bytes) from literals and references; streams without phrases are absent."""
 
-    def work(table: pa.Table) -> pa.RecordBatch:
-        out, dist, size, literal = bytearray(), *(numbers(table, c) for c in ("dist", "len", "literal"))
+    def work(stream: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        out, dist, size, literal = bytearray(), *(columns[c] for c in ("dist", "len", "literal"))
         ref = np.flatnonzero(dist >= 0)
         letters = literal[dist < 0].astype(np.uint8).tobytes()
         at = 0
@@ -174,9 +197,9 @@ def lz77_decode(phrases: DataFrame) -> DataFrame:
             copy(out, d, n)
             at = k
         out += letters[at:]
-        return decoded(table.column("stream_id")[0].as_py(), out)
+        return decoded(stream, out)
 
-    return map_groups(phrases.select("stream_id", "seq", "len", "dist", "literal"), "stream_id", ["seq"], work, DECODED)
+    return map_groups(phrases, "stream_id", ["seq", "len", "dist", "literal"], work, DECODED)
 
 
 def longest_previous(texts: DataFrame, key: str, text: str, longest: int | None = None) -> DataFrame:

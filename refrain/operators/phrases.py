@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SCHEMA = "stream_id long, window_id int, seq long, kind string, pos long, len long, dist long, node long, literal smallint"
 _ARROW = pa.schema([("stream_id", pa.int64()), ("window_id", pa.int32()), ("seq", pa.int64()), ("kind", pa.string()), ("pos", pa.int64()), ("len", pa.int64()), ("dist", pa.int64()), ("node", pa.int64()), ("literal", pa.int16())])
@@ -68,9 +69,12 @@ class Phrases:
         return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
 
 
-def numbers(table: pa.Table, name: str) -> np.ndarray:
-    """A column as numbers; absent ones are -1."""
-    return table.column(name).combine_chunks().fill_null(-1).to_numpy().astype(np.int64)
+def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column as numbers; absent ones are -1, kinds their places in KINDS."""
+    column = batch.column(batch.schema.get_field_index(name))
+    if pa.types.is_string(column.type):
+        column = pc.index_in(column, value_set=pa.array(KINDS))
+    return column.fill_null(-1).to_numpy().astype(np.int64)
 
 
 def copy(out: bytearray, dist: int, length: int) -> None:

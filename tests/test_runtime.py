@@ -67,3 +67,25 @@ def test_operators_leave_the_session_alone(spark):
     streams = spark.createDataFrame([(1, bytearray(b"abracadabra"))], "stream_id long, bytes binary")
     assert lz78_decode(lz78_parse(streams)).count() == 1
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_phrases_are_packed_before_they_are_shuffled(spark):
+    """Decoders get a row for each stream through the shuffle, wherever rows lie, and more partitions than their bytes ask for."""
+    import pyarrow as pa
+
+    from refrain.arrowio import _pack, _unpack
+    from refrain.operators import lz77
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 7, 7, 5, 7]), pa.array([0, 2, 1, 0, 3]), pa.array([300, None, 5, 6, 70000])], ["id", "seq", "x"])
+    rows = _pack(batch, "id", ["seq", "x"])
+    assert rows.column("key").to_pylist() == [7, 5, 7] and rows.column("first").to_pylist() == [0, 0, 3]
+    data = rows.column("data").to_pylist()
+    assert {c: x.tolist() for c, x in _unpack([data[0], data[2]], ["seq", "x"]).items()} == {"seq": [0, 1, 2, 3], "x": [300, 5, -1, 70000]}
+    streams = spark.createDataFrame([(i, b"abcabcabd" * i) for i in range(1, 40)], "stream_id long, bytes binary")
+    phrases = lz77.lz77_parse(streams)
+    want = {i: b"abcabcabd" * i for i in range(1, 40)}
+    near, far = lz77.lz77_decode(phrases), lz77.lz77_decode(phrases.repartition(3, "seq"))
+    assert plan(near).count("MapInArrow") < plan(far).count("MapInArrow")  # parsed and packed at once
+    for back in (near, far):
+        assert {r["stream_id"]: bytes(r["bytes"]) for r in back.collect()} == want
+        assert back.rdd.getNumPartitions() == 4
