@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from refrain.arrowio import map_rows
+from refrain.arrowio import map_groups, map_rows
 from refrain.functions.scalar import bit_width
+from refrain.operators.phrases import LIT, REF
+from refrain.operators.phrases import NODE as WITH_NODE
 
 #: Token types.
 LEN, SRC, LITERAL, REMAINDER, NODE = range(5)
@@ -29,18 +31,24 @@ def tokens(phrases: DataFrame, block: int = 32 << 10, split_long: bool = False,
     With ``split_long`` a length of LONG or more is LONG and a remainder. Dictionary phrases of an LZ78 parse are a node
     and a literal, a last one a node.
     """
-    kind, t = F.col("kind"), lambda type_, value: F.struct(F.lit(type_).cast("tinyint").alias("type"), value.cast("long").alias("value"))
-    literal = F.array(t(LEN, F.lit(1 if hybrid else 0)), t(LITERAL, F.col("literal")))
-    short = F.array(t(LEN, F.col("len")), t(SRC, F.col("dist")))
-    long = F.array(t(LEN, F.lit(LONG)), t(REMAINDER, F.col("len") - LONG), t(SRC, F.col("dist")))
-    ref = F.when(F.col("len") >= LONG, long).otherwise(short) if split_long else short
-    trie = F.array(t(LEN, F.lit(0)), t(NODE, F.col("node"))) if hybrid else F.array(t(NODE, F.col("node")))
-    node = F.array(t(NODE, F.col("node")), t(LITERAL, F.col("literal")))
-    each = F.when(kind == "lit", literal).when(kind == "ref", ref).when(kind == "node", node).otherwise(trie)
-    rows = phrases.select("stream_id", "seq", F.posexplode(each).alias("i", "token"))
-    order = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq", "i")) - 1
-    rows = rows.withColumn("ord", order.cast("long"))
-    return rows.select("stream_id", "ord", F.floor(F.col("ord") / block).cast("long").alias("block_id"), "token.type", "token.value")
+
+    def work(stream: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        kind, size, dist, node, literal = (columns[c] for c in ("kind", "len", "dist", "node", "literal"))
+        lit, ref, both = kind == LIT, kind == REF, kind == WITH_NODE
+        entry = ~lit & ~ref
+        long = ref & (size >= LONG) if split_long else np.zeros(len(kind), bool)
+        head = ~entry | (~both if hybrid else False)  # begins with a length
+        types, values = np.full((len(kind), 4), -1, np.int8), np.zeros((len(kind), 4), np.int64)
+        types[head, 0], values[:, 0] = LEN, np.where(lit, int(hybrid), np.where(long, LONG, np.where(ref, size, 0)))
+        types[long, 1], values[:, 1] = REMAINDER, size - LONG
+        types[ref, 2], types[entry, 2], values[:, 2] = SRC, NODE, np.where(ref, dist, node)
+        types[lit | both, 3], values[:, 3] = LITERAL, literal
+        kept = types >= 0
+        value, ord_ = values[kept], np.arange(kept.sum())
+        arrays = [pa.array(np.full(len(value), stream)), pa.array(ord_), pa.array(ord_ // block), pa.array(types[kept]), pa.array(value, mask=value < 0)]
+        return pa.RecordBatch.from_arrays(arrays, ["stream_id", "ord", "block_id", "type", "value"])
+
+    return map_groups(phrases, "stream_id", ["seq", "kind", "len", "dist", "node", "literal"], work, "stream_id long, ord long, block_id long, type tinyint, value long")
 
 
 def block_ranges(rows: DataFrame) -> DataFrame:
@@ -57,8 +65,8 @@ def binary_costs(rows: DataFrame, largest: DataFrame | None = None) -> DataFrame
     empty where top is at most 1; values then take one bit each.
     """
     ranges = block_ranges(rows)
-    top = largest if largest is not None else ranges.groupBy("stream_id", "type").agg(F.max("max").alias("top"))
-    joined = ranges.join(top, ["stream_id", "type"])
+    within = F.max("max").over(Window.partitionBy("stream_id", "type"))
+    joined = ranges.withColumn("top", within) if largest is None else ranges.join(largest, ["stream_id", "type"])
     plain = F.col("top") <= 1
     header = F.when(plain, 0).otherwise(bit_width(F.col("top")) + bit_width(F.col("top") - F.col("min")))
     data = F.when(plain, F.col("n")).otherwise(F.col("n") * bit_width(F.col("max") - F.col("min")))
