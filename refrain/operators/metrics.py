@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refrain.arrowio import map_groups
+
+
+def coverage(phrases: DataFrame) -> DataFrame:
+    """(stream_id, n, gaps): bytes covered, and phrases that do not begin where the one before ends."""
+
+    def work(stream: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+        pos, size = columns["pos"], columns["len"]
+        gaps = np.count_nonzero(pos != np.append(0, (pos + size)[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (stream, int(size.sum()), gaps)], ["stream_id", "n", "gaps"])
+
+    return map_groups(phrases, "stream_id", ["seq", "pos", "len"], work, "stream_id long, n long, gaps long")
+
 
 def lz77_metrics(phrases: DataFrame) -> DataFrame:
     """(stream_id, n, z, literals, refs, longest_ref): n is the bytes covered."""
