@@ -121,7 +121,7 @@ class Compressed:
         return self.phrases.sparkSession.createDataFrame([tuple(values.values())], schema)
 
     def decompress(self) -> DataFrame:
-        out = self.codec.decompress(self.phrases.drop("prepass"))
+        out = self.codec.decompress(self.phrases)
         return prepass_decode(out) if self.prepass["accepted"] else out
 
 
@@ -133,6 +133,8 @@ def compress(streams: DataFrame, memory: int = 0, ratios: Ratios = Ratios(), fas
     size = F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("long")
     planned = plan(given.select("stream_id", "bytes", size.alias("n"), F.lit(int(memory)).alias("memory")), ratios=ratios, fast=fast)
     codec = TopkLZ77("k", "window", COUNTER_CAP, 4 if fast else 0, 1)
-    phrases = codec.compress(planned.select("stream_id", "bytes", "k", "window")).withColumn("prepass", F.lit(decided["accepted"]))
+    parsed = codec.compress(planned.select("stream_id", "bytes", "k", "window"))
+    phrases = parsed.withColumn("prepass", F.lit(decided["accepted"]))
+    phrases._refrain_rows = parsed._refrain_rows  # the decoder does without the flag
     sizes = plan(streams.select("stream_id", size.alias("given"), size.alias("n"), F.lit(int(memory)).alias("memory")), ratios=ratios, fast=fast)
     return Compressed(phrases, sizes, codec, decided)
